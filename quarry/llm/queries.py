@@ -1,13 +1,15 @@
 """The registered queries of this folder and their SQL."""
 
+from quarry.llm import chat, quality_rules
+from quarry.llm.chat import op6_chat_formatting
 from quarry.llm.decontaminate import op1_benchmark_decontamination
+from quarry.llm.quality_rules import op7_quality_rules
+from quarry.llm.sentencepiece_codec import op4_sentencepiece
 
 
 def queries():
-    return {
-        "op1_benchmark_decontamination": op1_benchmark_decontamination,
-    }
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op4_sentencepiece, op6_chat_formatting, op7_quality_rules)}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_chat_formatting": chat.OP6_SQL, "op7_quality_rules": quality_rules.OP7_SQL}

@@ -57,8 +57,9 @@ def paths(nodes: DataFrame) -> DataFrame:
         jump = C.cut(upper.select("tree", "node", "above"))
     rows = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps))):
-        step = rows.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        rows = rows.unionByName(step)
+        here = F.struct(F.col("node"), F.col("up"))
+        there = F.when(F.col("above").isNotNull(), F.array(here, F.struct(F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up")))).otherwise(F.array(here))
+        rows = rows.join(jumps[k], ["tree", "node"], "left").select("tree", "leaf", F.explode(there).alias("n")).select("tree", "leaf", "n.node", "n.up")
     return rows
 
 

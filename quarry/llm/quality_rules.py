@@ -131,17 +131,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEPT = "10 * n_symbols <= n_words AND word_chars >= 2 * n_words AND word_chars <= 16 * n_words AND 100 * n_dup_lines <= 30 * n_lines AND 100 * n_upper <= 30 * n_letters AND 10 * n_letters >= 6 * word_chars"
-_BIT = ", ".join
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM d),
+s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM d),
 wins AS (SELECT doc_id, p, array_to_string(ws[p : p + 7], ' ') AS k FROM s, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 6, 1))) AS p) WHERE len(ws) >= 8),
 rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS n FROM wins) WHERE n > 1),
 cov AS (SELECT doc_id, sum(least(8, coalesce(nxt - p, 8))) AS n FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM rep) GROUP BY doc_id),
 m AS (SELECT s.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
-  (len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-  coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(string_split(t, chr(10)), x -> x <> '')) AS n_lines,
+  (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+  coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(string_split(t, chr(10)), lambda x: x <> '')) AS n_lines,
   length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters
   FROM s LEFT JOIN cov ON s.doc_id = cov.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,

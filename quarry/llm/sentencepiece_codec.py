@@ -355,5 +355,24 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
 
 
+def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens and whether decoding gives the text back, for training."""
+    path = path or default_model()
+
+    def run(batches):
+        m = model(path)
+        for block in C.blocks(batches):
+            texts = block.column(3).to_pylist()
+            rows = [m.encode(text or "") for text in texts]
+            n = np.array([r[1] for r in rows], np.int64)
+            flat = ",".join(r[0] for r in rows if r[1])
+            ids = np.array(flat.split(","), dtype=np.int32) if flat else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids))
+            same = [r[2] == (t or "") for r, t in zip(rows, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), block.column(2), lists, pa.array(n), pa.array(same)], ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, lang string, source string, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(C.table(spark, sf_dir, "documents"))

@@ -22,6 +22,7 @@ from quarry.llm.quality_rules import let
 CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}"
 NEAR = 48  # characters looked at on either side
 TREES, DEPTH, FINDINGS, SEED = 15, 6, 6_000, 7
+NEXT = 12  # of these, so many where a word speaks against a secret
 REDACTED = "[SECRET]"
 #: Words that mark a key, a look-alike, and common parts of identifiers.
 KEY_WORDS = r"(passwo?r?d|pwd|secret|token|api.?key|access.?key|auth|credential)[^a-z]{0,6}$"
@@ -48,7 +49,7 @@ def features(c: Column, left: Column, right: Column, path: Column) -> dict[str,
         "key_word": flag(F.lower(left).rlike(KEY_WORDS)),
         "assigned": flag(left.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(left.rlike(r"[\"']$")),
-        "lookalike": flag(F.lower(F.concat(left, c, right)).rlike(LOOKALIKE_WORDS)),
+        "lookalike": flag(F.lower(F.concat(F.right(left, F.lit(NEXT)), c, F.left(right, F.lit(NEXT)))).rlike(LOOKALIKE_WORDS)),
         "test_path": flag(F.lower(path).rlike("test|example|sample|fixture|docs?/")),
     }
 

@@ -99,7 +99,7 @@ def search(docs: DataFrame, queries: DataFrame, tokenizer: Tokenizer, k: int, me
     wanted = terms.select("term").distinct()
     small = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
     hint = F.broadcast if small else (lambda x: x)
-    whole = stats(docs).select(F.col("n").cast("double").alias("n"), (F.col("total_dl") / F.col("n")).alias("avgdl")).where("avgdl > 0")
+    whole = stats(docs).select(F.col("n").cast("double").alias("n"), F.try_divide("total_dl", "n").alias("avgdl")).where("avgdl > 0")
     hits = index.join(hint(wanted), "term", "left_semi")
     df = (index if method == "okapi" else hits).groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(whole))  # one row of totals

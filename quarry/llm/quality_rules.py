@@ -19,7 +19,7 @@ from quarry.llm import common as C
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Bits of the ledger, lowest first.
-RULES = ("few_words", "repeated_words", "short_words", "long_words", "symbols", "duplicate_lines", "upper_case", "few_letters")
+RULES = ("few_words", "repeated_words", "short_words", "long_words", "symbols", "duplicate_lines", "upper_case", "few_letters", "stutter")
 #: Versioned policies: the rules that reject.
 POLICIES = {
     "base-1": ("few_words", "repeated_words"),
@@ -64,7 +64,7 @@ def measure(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The key columns and the measurements that the rules read."""
     text = F.coalesce(F.col("text"), F.lit(""))
     split = F.filter(F.split(F.col("t"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    words = let(split, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    words = let(split, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))).cast("long").alias("n_stutter")))
     gone = lambda pattern: F.length(F.regexp_replace("t", pattern, ""))
     return (
         docs.select(*keys, text.alias("t"))
@@ -78,7 +78,7 @@ def measure(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             gone(r"[^\p{Lu}]+").cast("long").alias("n_upper"),
             gone(r"[^\p{L}]+").cast("long").alias("n_letters"),
         )
-        .select(*keys, "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "n_lines", "n_upper", "n_letters")
+        .select(*keys, "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "w.n_stutter", "n_lines", "n_upper", "n_letters")
     )
 
 
@@ -91,9 +91,10 @@ def ledger(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 16 * c("n_words"),
         "symbols": 10 * c("n_symbols") > c("n_words"),
-        "duplicate_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
+        "duplicate_lines": 100 * c("n_dup_lines") > 60 * c("n_lines"),
         "upper_case": 100 * c("n_upper") > 30 * c("n_letters"),
         "few_letters": 10 * c("n_letters") < 6 * c("word_chars"),
+        "stutter": 100 * c("n_stutter") > 50 * c("n_words"),  # words equal to the one before
     }
     bits = sum((F.when(failed[r], F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RULES)), F.lit(0))
     return measure(docs, keys).withColumn("failed_bits", bits.cast("int"))
@@ -130,7 +131,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_KEPT = "10 * n_symbols <= n_words AND word_chars >= 2 * n_words AND word_chars <= 16 * n_words AND 100 * n_dup_lines <= 30 * n_lines AND 100 * n_upper <= 30 * n_letters AND 10 * n_letters >= 6 * word_chars"
+_KEPT = "10 * n_symbols <= n_words AND word_chars >= 2 * n_words AND word_chars <= 16 * n_words AND 100 * n_dup_lines <= 60 * n_lines AND 100 * n_upper <= 30 * n_letters AND 10 * n_letters >= 6 * word_chars AND 100 * n_stutter <= 50 * n_words"
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM d),
@@ -140,13 +141,13 @@ cov AS (SELECT doc_id, sum(least(8, coalesce(nxt - p, 8))) AS n FROM (SELECT doc
 m AS (SELECT s.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
   (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-  coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(string_split(t, chr(10)), lambda x: x <> '')) AS n_lines,
+  coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda w, i: i > 1 AND w = ws[i - 1])) AS n_stutter, len(list_filter(string_split(t, chr(10)), lambda x: x <> '')) AS n_lines,
   length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters
   FROM s LEFT JOIN cov ON s.doc_id = cov.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   (n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words AND {_KEPT}) AS kept,
   ((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (word_chars < 2 * n_words)::INT + 8 * (word_chars > 16 * n_words)::INT
-   + 16 * (10 * n_symbols > n_words)::INT + 32 * (100 * n_dup_lines > 30 * n_lines)::INT + 64 * (100 * n_upper > 30 * n_letters)::INT + 128 * (10 * n_letters < 6 * word_chars)::INT)::INT AS failed_bits
+   + 16 * (10 * n_symbols > n_words)::INT + 32 * (100 * n_dup_lines > 60 * n_lines)::INT + 64 * (100 * n_upper > 30 * n_letters)::INT + 128 * (10 * n_letters < 6 * word_chars)::INT + 256 * (100 * n_stutter > 50 * n_words)::INT)::INT AS failed_bits
 FROM m
 """
 

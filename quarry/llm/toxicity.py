@@ -22,6 +22,7 @@ from quarry.llm import text_features as T
 
 TRAIN_DOCS = 16_000
 EPOCHS = 8
+GAP = 0.05  # that thresholds keep between them
 RATE, L1 = 0.5, 0.6  # L1: the soft threshold's pull over one epoch
 PREFIXES = (4, 5, 6)  # so many first bytes of a word are features of their own
 
@@ -59,6 +60,7 @@ def fit(rows, grades: int, size: int = 1 << T.BITS, epochs: int = EPOCHS) -> tup
     # a feature of many documents says little: its value is its inverse document frequency; one of a single row says nothing
     value = np.where(held > 1, np.log(max(2, len(rows)) / np.maximum(held, 1)) / np.log(max(2, len(rows))), 0.0)
     thresholds = np.linspace(0.0, 1.0, grades - 1) if grades > 2 else np.zeros(max(0, grades - 1))
+    steps = np.arange(thresholds.size)
     moved, last, step = np.full(thresholds.size, 1e-2), np.zeros(size, np.int64), 0
     total, total_t = np.zeros(size), np.zeros(thresholds.size)
     for epoch in range(epochs):
@@ -73,8 +75,9 @@ def fit(rows, grades: int, size: int = 1 << T.BITS, epochs: int = EPOCHS) -> tup
             d, dt = slopes(float(own @ x), thresholds, y)
             seen[at] += (d * x) ** 2
             w[at] = own - RATE / np.sqrt(seen[at]) * d * x
+            dt = np.clip(dt, -1, 1)  # two close thresholds make it as large as one likes
             moved += dt * dt
-            thresholds = np.maximum.accumulate(thresholds - RATE / np.sqrt(moved) * dt)
+            thresholds = np.maximum.accumulate(thresholds - RATE / np.sqrt(moved) * dt - GAP * steps) + GAP * steps
         lag = pull / np.sqrt(seen) * (step - last)
         w = np.sign(w) * np.maximum(0, np.abs(w) - np.minimum(lag, 1e6))
         last[:] = step

@@ -32,9 +32,9 @@ from quarry.llm import common as C
 
 WORDS = 5
 SIMILARITY = 85  # percent
-COORDINATES, POSTED = 256, 64
+COORDINATES, POSTED = 512, 64
 MATCHES = 38  # of POSTED: P(Binomial(64, 0.85) < 38) < 1e-6
-KEEP = 190  # of COORDINATES: P(Binomial(256, 0.85) < 190) < 1e-6
+KEEP = 400  # of COORDINATES; at 0.85 about 440 agree in 4 bits, with a deviation of 8: P(fewer) < 1e-6
 SLICES, LONGS = 4, COORDINATES // 64
 PLANES = [f"p{i}" for i in range(SLICES * LONGS)]
 _U = np.uint64
@@ -157,22 +157,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept = posts.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("own"))
     m = F.size("own")
     kept = kept.where(m >= MATCHES).select("id", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["f"]).alias("central"), F.slice("own", F.lit(1), m - (MATCHES - 1)).alias("own"))
-    planes = F.struct(*PLANES).alias("p")
-    lists = C.cut(kept.join(classes.select("id", "n", planes), "id").select("id", "n", "central", "p", F.explode("own.token").alias("token")))
-    lead = lists.groupBy("token").agg(F.max_by(F.struct("id", "n", "p"), F.struct(F.col("central"), -F.col("id"))).alias("l"), F.count("*").alias("size")).where("size > 1").select("token", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.p").alias("leader_p"))
-    sizes = lambda x, y: 100 * F.least(x, y) >= SIMILARITY * F.greatest(x, y)  # noqa: E731  no two sets of such sizes are similar otherwise
-
-    met = lists.join(lead, "token").select("token", "id", "n", "p", "leader", "leader_n", "leader_p")
-    near = met.where((F.col("id") != F.col("leader")) & sizes(F.col("n"), F.col("leader_n"))).where(collisions("p", "leader_p") >= KEEP)
-    pairs = near.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    lists = C.cut(kept.select("id", "central", F.explode("own.token").alias("token")))
+    lead = lists.groupBy("token").agg(F.max_by("id", F.struct(F.col("central"), -F.col("id"))).alias("leader"), F.count("*").alias("size")).where("size > 1").select("token", "leader")
+    met = C.cut(lists.join(lead, "token").select("token", "id", "leader"))
+
+    meta = classes.select("id", "n", F.struct(*PLANES).alias("p"))
+    other = meta.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
+    alike = (100 * F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2")) & (collisions("p", "p2") >= KEEP)  # two sets of other sizes can't be similar
+    near = met.where("id <> leader").select("id", F.col("leader").alias("id2")).distinct().join(meta, "id").join(other, "id2").where(alike)
+    pairs = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     links = C.cut(confirm(pairs, docs))
     first = components(links)
 
-    grouped = met.select("token", "id", "n", "p", "leader").join(first, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+    grouped = met.join(first, "id", "left").select("token", "id", "leader", F.coalesce("root", "id").alias("c"))
     mixed = grouped.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    rest = C.cut(grouped.join(mixed, "token", "left_semi").groupBy("leader", "id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("p").alias("p")))
-    x, y = rest.alias("x"), rest.select("leader", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "c", "p")]).alias("y")
-    cross = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("c") < F.col("c2")) & sizes(F.col("n"), F.col("n2")) & (collisions("x.p", "y.p2") >= KEEP))
+    rest = grouped.join(mixed, "token", "left_semi").select("leader", "id", "c").distinct()
+    rest = C.cut(rest.join(meta, "id").select("leader", "id", "c", "n", "p"))
+    again = rest.select(F.col("leader").alias("leader2"), *[F.col(c).alias(f"{c}2") for c in ("id", "c", "n", "p")])
+    cross = rest.join(again, (F.col("leader") == F.col("leader2")) & (F.col("c") < F.col("c2")) & alike)
     more = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
     extra = C.cut(confirm(more, docs))
     last = components(links.unionByName(extra)) if extra.take(1) else first

@@ -33,7 +33,7 @@ from quarry.llm import common as C
 
 LENGTH, ANCHOR, SHALLOW = 50, 24, 24
 SHARD_BYTES = 6 << 20
-FLUSH = 2_000_000  # anchors that a task gathers before it sends them
+FLUSH = 1_000_000  # anchors that a task gathers before it sends them
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -96,7 +96,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = AN
         hit[ok] = m[s[ok]] == hash_at[ok]
         first = np.where(hit & (first < 0), s, first)
         last = np.where(hit, s, last)
-    return at, hash_at, first, last
+    return at, C.mix(hash_at + _U(0x5DEECE66D)), first, last  # minima are small: mixed again, they spread over all buckets
 
 
 def _ask(n_buckets: int, n_shards: int):
@@ -279,55 +279,64 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """(order, class) of byte rows of one width: the sorted order, and for each place in it the number of its class of
-    equal rows. Equal rows stay in input order."""
-    n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    digits = padded.view(">u8").astype(_U)
-    order = np.argsort(digits[:, 0], kind="stable")
-    group = np.zeros(n, np.int64)  # by place: the group's number, in sorted order
-    new = np.ones(n, bool)
-    first = digits[order, 0]
-    new[1:] = first[1:] != first[:-1]
+def deep_shallow(data: np.ndarray, source: np.ndarray, width: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """(order, class) of the strings data[s:s+width]: the sorted order, and for each place in it the number of its class
+    of equal strings. Equal strings stay in input order."""
+    n = source.size
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+
+    def digit(level: int, which: np.ndarray) -> np.ndarray:
+        """The 8 bytes at 8 * level of some strings as a number that sorts like them."""
+        d = words[source[which] + 8 * level].view(">u8").reshape(-1).astype(_U)
+        beyond = 8 * (level + 1) - width
+        return d >> _U(8 * beyond) if beyond > 0 else d
+
+    d = digit(0, np.arange(n))
+    order = np.argsort(d, kind="stable")
+    new = np.ones(n, bool)  # by place: whether a new group begins
+    d = d[order]
+    new[1:] = d[1:] != d[:-1]
+    open_ = group = None
+
+    def still_open():
+        g = np.cumsum(new) - 1
+        at = np.flatnonzero(np.bincount(g)[g] > 1)
+        return at, g[at]
+
     for level in range(1, max(1, shallow // 8)):
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        open_ = np.flatnonzero(size[group] > 1)
+        open_, group = still_open()
         if not open_.size:
             break
         sub = order[open_]
-        again = np.lexsort((digits[sub, level], group[open_]))
+        d = digit(level, sub)
+        again = np.lexsort((d, group))
         order[open_] = sub[again]
-        d = digits[order[open_], level]
-        g = group[open_]
-        split = (g[1:] == g[:-1]) & (d[1:] != d[:-1])
-        new[open_[1:][split]] = True
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)
-    open_ = np.flatnonzero(size[group] > 1)
+        d = d[again]
+        new[open_[1:][(group[1:] == group[:-1]) & (d[1:] != d[:-1])]] = True
+    open_, group = still_open()
     if open_.size:
-        # equal rows fold to one string; groups that hold several go through a blind trie
-        rest = digits[order[open_]]
-        h = rest[:, 0].copy()
-        for k in range(1, rest.shape[1]):
-            h = C.mix(h * _U(0xD6E8FEB86659FD93) + rest[:, k])
-        again = np.lexsort((h, group[open_]))
-        order[open_] = order[open_][again]
-        h, g = h[again], group[open_]
-        apart = (g[1:] == g[:-1]) & (h[1:] != h[:-1])
+        # equal remainders fold to one string; groups that hold several go through a blind trie
+        sub = order[open_]
+        h = np.zeros(sub.size, _U)
+        for level in range(shallow // 8, -(-width // 8)):
+            h = C.mix(h * _U(0xD6E8FEB86659FD93) + digit(level, sub))
+        again = np.lexsort((h, group))
+        order[open_] = sub[again]
+        h = h[again]
+        apart = (group[1:] == group[:-1]) & (h[1:] != h[:-1])
         new[open_[1:][apart]] = True
-        for k in np.unique(g[1:][apart]):
-            lo, hi = np.searchsorted(group, [k, k + 1])
+        bounds = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), group.size)
+        several = np.unique(np.searchsorted(bounds, np.flatnonzero(apart), "right") - 1)
+        for k in several:
+            lo, hi = open_[bounds[k]], open_[bounds[k + 1] - 1] + 1  # a group's places are consecutive
             cuts = np.append(lo + np.flatnonzero(new[lo:hi]), hi)
-            heads = [rows[order[c]].tobytes() for c in cuts[:-1]]
-            parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            heads = [data[(p := source[order[c]]) : p + width].tobytes() for c in cuts[:-1]]
+            parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             sequence = BlindTrie(heads).order()
+            sizes = [parts[j].size for j in sequence]
             order[lo:hi] = np.concatenate([parts[j] for j in sequence])
-            flags = np.zeros(hi - lo, bool)
-            flags[np.cumsum([0, *[parts[j].size for j in sequence[:-1]]])] = True
-            new[lo:hi] = flags
+            new[lo:hi] = False
+            new[lo + np.cumsum([0, *sizes[:-1]])] = True
     return order, np.cumsum(new) - 1
 
 
@@ -356,23 +365,20 @@ def _removals(n_shards: int):
             n = size[keep] - LENGTH + 1
             entry = np.repeat(np.arange(keep.size), n)
             inner = ragged(np.zeros(keep.size, np.int64), n)
-            for part in np.array_split(np.arange(entry.size), 1):
-                source = begin[keep][entry[part]] + inner[part]
-                rows = data[source[:, None] + np.arange(LENGTH)[None, :]]
-                order, cls = deep_shallow(rows)
-                d = doc[keep][entry[part]][order]
-                small = np.full(cls[-1] + 1 if cls.size else 0, np.iinfo(np.int64).max)
-                np.minimum.at(small, cls, d)
-                gone = np.zeros(part.size, bool)
-                gone[order] = d > small[cls]
-                hit = np.flatnonzero(gone)
-                if hit.size:
-                    e, j = entry[part][hit], inner[part][hit]
-                    head = np.ones(hit.size, bool)
-                    head[1:] = (e[1:] != e[:-1]) | (j[1:] != j[:-1] + 1)
-                    a = np.flatnonzero(head)
-                    b = np.append(a[1:], hit.size) - 1
-                    spans.append((doc[keep][e[a]], place[keep][e[a]] + j[a], place[keep][e[a]] + j[b] + LENGTH))
+            order, cls = deep_shallow(data, begin[keep][entry] + inner)
+            d = doc[keep][entry][order]
+            small = np.full(cls[-1] + 1 if cls.size else 0, np.iinfo(np.int64).max)
+            np.minimum.at(small, cls, d)
+            gone = np.zeros(entry.size, bool)
+            gone[order] = d > small[cls]
+            hit = np.flatnonzero(gone)
+            if hit.size:
+                e, j = entry[hit], inner[hit]
+                head = np.ones(hit.size, bool)
+                head[1:] = (e[1:] != e[:-1]) | (j[1:] != j[:-1] + 1)
+                a = np.flatnonzero(head)
+                b = np.append(a[1:], hit.size) - 1
+                spans.append((doc[keep][e[a]], place[keep][e[a]] + j[a], place[keep][e[a]] + j[b] + LENGTH))
             d, a, b = (np.concatenate([s[k] for s in spans]) for k in range(3))
             if d.size:
                 shard = d % n_shards
@@ -431,7 +437,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = prime(max(docs.sparkSession.sparkContext.defaultParallelism * 2, total // SHARD_BYTES))
-    n_buckets = n_shards
+    n_buckets = 2 * n_shards
     ask, answer = _ask(n_buckets, n_shards)
     packed = "docs binary, hashes binary"
     asked = known.mapInArrow(ask, f"bucket long, kind int, shard long, {packed}")

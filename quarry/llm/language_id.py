@@ -2,13 +2,15 @@
 
 Training counts the character n-grams of order ORDER of all training texts (folded to lower case, every run of
 non-letters one space), pre-aggregated per task and summed by (language, n-gram). From these counts the lower orders'
-continuation counts follow. A model is kept as sorted arrays of n-gram hashes with one column of log-probabilities per
-language; a text is looked up in them from the longest order down, unseen n-grams through the context's back-off weight.
+continuation counts follow, then back-off weights and log-probabilities, all by aggregations and joins over every n-gram.
+A model is kept as sorted arrays of n-gram hashes with one column of log-probabilities per language; a text is looked up
+in them from the longest order down, unseen n-grams through the context's back-off weight.
 The language of the lowest cross-entropy per character wins. The score is the probability, by a logistic calibration on
 a bounded sample of training rows (CALIBRATION_DOCS), that the winner is right; `rejected` marks scores under REJECT.
 
-The counts cover all training rows; MAX_GRAMS bounds the model (the most frequent n-grams per language are kept), so that
-what is broadcast has a fixed bound however large the corpus is.
+The counts cover all training rows and the model keeps every n-gram. It grows with the corpus, so it is neither collected
+nor broadcast: tasks write their ranges of the sorted arrays into files under spark.checkpoint.dir (a folder that driver
+and executors mount), and scoring maps these files into memory.
 
 Defined cases: null text or text without a letter is `und` with score 0; null languages and ids in training are left out;
 ties go to the language first in order; with no training row everything is `und`. Texts are scored whole. Only doc_id
@@ -17,7 +19,10 @@ and text are read when scoring.
 
 from __future__ import annotations
 
+import os
 import unicodedata
+import uuid
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -29,7 +34,8 @@ from quarry.llm import common as C
 
 ORDER = 4
 DISCOUNT = 0.75
-MAX_GRAMS = 100_000
+UNIFORM = float(np.log(1 / 1000))
+SHARD_BITS = 6  # the leading bits of a hash name the range of the sorted arrays that one task writes
 CALIBRATION_DOCS = 2_000
 REJECT = 0.5
 _U = np.uint64
@@ -115,7 +121,7 @@ class Models:
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        self.uniform = np.log(1 / 1000)
+        self.uniform = UNIFORM
         self.hash, self.logp, self.context, self.backoff = {}, {}, {}, {}
         per = [self._kneser_ney(counts[counts["lang"] == lang]) for lang in self.langs]
         for n in range(1, ORDER + 1):
@@ -197,6 +203,112 @@ class Models:
         return -sums / np.maximum(1, sizes)[:, None], n_letters
 
 
+class StoredModels(Models):
+    """The same arrays in files of a shared folder, mapped into memory where they are first used."""
+
+    def __init__(self, langs: list[str], folder: str, sizes: dict[int, int]):
+        self.langs, self.folder, self.sizes, self.uniform = langs, folder, sizes, UNIFORM
+
+    def __getattr__(self, name):
+        if name not in ("hash", "logp", "context", "backoff"):
+            raise AttributeError(name)
+        self.hash, self.logp = self._arrays(range(1, ORDER + 1), 0)
+        self.context, self.backoff = self._arrays(range(2, ORDER + 1), ORDER)
+        self.context[1], self.backoff[1] = np.zeros(0, _U), np.zeros((0, len(self.langs)), np.float32)
+        return self.__dict__[name]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("hash", "logp", "context", "backoff")}
+
+    def _arrays(self, orders, shift: int):
+        wide, keys, values = len(self.langs), {}, {}
+        for n in orders:
+            size = self.sizes.get(n + shift, 0)
+            keys[n] = np.asarray(np.memmap(f"{self.folder}/{n + shift}.hash", _U, "r", shape=(size,))) if size else np.zeros(0, _U)
+            values[n] = np.asarray(np.memmap(f"{self.folder}/{n + shift}.values", np.float32, "r", shape=(size, wide))) if size else np.zeros((0, wide), np.float32)
+        return keys, values
+
+
+def kneser_ney(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """(part, key, v): log-probabilities of every n-gram (part = its order) and back-off weights of every context of order
+    n (part = ORDER + n), one for each language; the recursions of Models by aggregations and joins."""
+    every = range(len(langs))
+    level = {ORDER: C.cut(counts.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)]))}
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many ways an n-gram is preceded
+        level[n] = C.cut(level[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(*[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"c{i}") for i in every]))
+    out, below = None, None
+    for n in range(1, ORDER + 1):
+        sums = [F.sum(f"c{i}").alias(f"t{i}") for i in every] + [F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"k{i}") for i in every]
+        contexts = level[n].groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(*sums)
+        contexts = C.cut(contexts.select("context", *[F.col(f"t{i}") for i in every], *[F.when(F.col(f"t{i}") > 0, F.log(F.lit(DISCOUNT) * F.col(f"k{i}") / F.col(f"t{i}"))).otherwise(0.0).alias(f"b{i}") for i in every]))
+        rows = level[n].withColumn("context", F.substring("gram", 1, n - 1)).join(contexts, "context")
+        if below is None:
+            rows = rows.select("*", *[F.lit(UNIFORM).alias(f"f{i}") for i in every])
+        else:
+            rows = rows.withColumn("suffix", F.substring("gram", 2, n - 1)).join(below, "suffix")
+        seen = lambda i: F.log((F.col(f"c{i}") - DISCOUNT) / F.col(f"t{i}") + F.exp(F.col(f"b{i}") + F.col(f"f{i}")))
+        full = C.cut(rows.select("gram", *[F.when(F.col(f"c{i}") > 0, seen(i)).otherwise(F.col(f"b{i}") + F.col(f"f{i}")).alias(f"f{i}") for i in every]))
+        below = full.withColumnRenamed("gram", "suffix")
+        parts = [full.select(F.lit(n).alias("part"), F.col("gram").alias("key"), F.array(*[F.col(f"f{i}").cast("float") for i in every]).alias("v"))]
+        if n > 1:
+            parts.append(contexts.select(F.lit(ORDER + n).alias("part"), F.col("context").alias("key"), F.array(*[F.col(f"b{i}").cast("float") for i in every]).alias("v")))
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
+def store(rows: DataFrame, langs: list[str]) -> StoredModels:
+    """Writes (part, key, v) as arrays sorted by hash, range by range and each at its own place of the files."""
+    where = urlparse(C.checkpoint_dir(rows.sparkSession))
+    if where.scheme not in ("", "file"):
+        raise ValueError(f"spark.checkpoint.dir must be a mounted folder for language models, not {where.scheme}:")
+    folder, wide = f"{unquote(where.path)}/language_id-{uuid.uuid4().hex}", len(langs)
+
+    def hashed(batches):
+        for batch in batches:
+            part = np.array(batch.column(0))
+            keys, h = batch.column(1).to_pylist(), np.zeros(batch.num_rows, _U)
+            for p in np.unique(part):
+                at = np.flatnonzero(part == p)
+                h[at] = text_hash([keys[k] for k in at])
+            shard = (h >> _U(64 - SHARD_BITS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard), pa.array((h ^ _U(1 << 63)).view(np.int64)), batch.column(2)], ["part", "shard", "h", "v"])
+
+    table = C.cut(rows.mapInArrow(hashed, "part int, shard int, h long, v array<float>"))
+    sizes, first = {}, {}
+    for r in sorted(table.groupBy("part", "shard").count().collect()):
+        first[r["part"], r["shard"]] = sizes.get(r["part"], 0)
+        sizes[r["part"]] = sizes.get(r["part"], 0) + r["count"]
+    os.makedirs(folder)
+    for p, size in sizes.items():
+        for name, width in (("hash", 8), ("values", 4 * wide)):
+            with open(f"{folder}/{p}.{name}", "wb") as f:
+                f.truncate(size * width)
+
+    def write(batches):
+        at = dict(first)
+        for batch in batches:
+            group = np.stack([np.array(batch.column(0)), np.array(batch.column(1))], axis=1)
+            h = np.array(batch.column(2)).view(_U) ^ _U(1 << 63)
+            v = np.array(batch.column(3).flatten(), np.float32).reshape(-1, wide)
+            cuts = [0, *(np.flatnonzero((np.diff(group, axis=0) != 0).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                key = int(group[a, 0]), int(group[a, 1])
+                for name, data, width in (("hash", h, 8), ("values", v, 4 * wide)):
+                    with open(f"{folder}/{key[0]}.{name}", "r+b") as f:
+                        f.seek(at[key] * width)
+                        f.write(data[a:b].tobytes())
+                at[key] += b - a
+        yield pa.RecordBatch.from_arrays([pa.array([sum(at.values()) - sum(first.values())])], ["n"])
+
+    done = table.repartition("part", "shard").sortWithinPartitions("part", "shard", "h").mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
+    if (done or 0) != sum(sizes.values()):
+        raise RuntimeError(f"{done} of {sum(sizes.values())} n-grams were written")
+    return StoredModels(langs, folder, sizes)
+
+
 class Calibration:
     """P(the winner is right) from the margin to the second best and the text's length, by a small logistic regression."""
 
@@ -222,11 +334,10 @@ class Calibration:
 
 def fit(docs: DataFrame) -> tuple[Models, Calibration]:
     """The models of the languages in docs (text, lang), and their calibration."""
-    from pyspark.sql import Window
-
-    counts = count(docs)
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= MAX_GRAMS)
-    models, calibration = Models(top.select("lang", "gram", "n").toPandas()), Calibration()
+    counts = C.cut(count(docs))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    models = store(kneser_ney(counts, langs), langs) if langs else Models(pd.DataFrame({"lang": [], "gram": [], "n": []}))
+    calibration = Calibration()
     if models.langs:
         known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
         n = known.count()

@@ -104,6 +104,20 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert 0.8 < total <= 1.0001  # the rest is for unseen characters
 
 
+def test_models_keep_every_gram(spark):
+    r = random.Random(3)
+    letters = [chr(c) for c in range(0x430, 0x450)] + [chr(c) for c in range(97, 123)]
+    rows = [(i, "".join(r.choice(letters) for _ in range(4000)), "aa" if i % 3 else "bb") for i in range(50)] + [(99, "schlung banato", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = language_id.count(docs).toPandas()
+    assert (counts["lang"] == "aa").sum() > 110_000
+    want, got = language_id.Models(counts), language_id.fit(docs)[0]
+    texts = [t[:300] for _, t, _ in rows[:6]] + ["banato schlung", "Zürich 42", "", None, "".join(r.choice(letters) for _ in range(300))]
+    for a, b in zip(want.entropy(texts), got.entropy(texts), strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+    assert all((want.hash[n] == got.hash[n]).all() and np.allclose(want.logp[n], got.logp[n], atol=1e-5) for n in want.hash)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert language_id.op8_language_id(spark, str(tmp_path)).count() == 0

@@ -5,16 +5,16 @@
 2. Classes are posted under each of POSTED coordinate-value pairs. A pair that occurs once links nothing. A class keeps
    its other pairs in order of rising frequency, and only their prefix: two classes with at least MATCHES common
    coordinates must share one of the first m - MATCHES + 1 of a class's m shared pairs (prefix merging; a class with
-   m < MATCHES has none and is skipped).
+   m < MATCHES has none and is skipped). MATCHES and KEEP follow from the similarity by the binomial tail (`bounds`).
 3. In every list the most central class (most frequent coordinates) leads; each member meets the leader only, and a pair
    stays if the collisions over all COORDINATES reach KEEP. Collisions are counted 64 at a time on 4-bit slices.
-4. The pairs' full shingle sets are compared; links are pairs with 100 * intersection >= 85 * union. Components of the
+4. The pairs' full shingle sets are compared; links are pairs with 100 * intersection >= similarity * union. Components of the
    links follow by large-star and small-star steps (joins, no collected neighbour lists).
 5. Lists that hold more than one component may still hide links between them: their members meet again, leader by
    leader, across components only, with the same count, confirmation and component steps.
 
 So a group of m near copies costs about m pairs, not m * m, and no link between components is left out except by the
-count's error: a pair at similarity 0.85 falls under KEEP of COORDINATES with probability below 1e-6.
+count's error: a pair at exactly the similarity falls under MATCHES or KEEP with probability below 1e-6.
 
 Defined cases: null or word-less text has an empty set, links to nothing and is its own component; fewer than 5 words are
 one shingle; a null doc_id is never linked; rows that repeat a doc_id share its component. Only doc_id and text are
@@ -23,6 +23,8 @@ read, so further columns may carry any name. Shingles are compared by 64-bit has
 
 from __future__ import annotations
 
+from math import exp, lgamma, log
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,9 @@ from pyspark.sql import functions as F
 from quarry.llm import common as C
 
 WORDS = 5
-SIMILARITY = 85  # percent
+SIMILARITY = 85  # percent, of op10; other callers pass their own
 COORDINATES, POSTED = 512, 64
-MATCHES = 38  # of POSTED: P(Binomial(64, 0.85) < 38) < 1e-6
-KEEP = 400  # of COORDINATES; at 0.85 about 440 agree in 4 bits, with a deviation of 8: P(fewer) < 1e-6
+MISSED_MATCHES, MISSED_KEEP = 2e-7, 8e-7  # bounds on the probability that a link at exactly the similarity fails either count
 SLICES, LONGS = 4, COORDINATES // 64
 PLANES = [f"p{i}" for i in range(SLICES * LONGS)]
 _U = np.uint64
@@ -43,6 +44,27 @@ _A = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 _B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def bounds(similarity: int) -> tuple[int, int]:
+    """(MATCHES of POSTED, KEEP of COORDINATES): the largest counts that a pair at `similarity` percent hardly ever misses.
+
+    Coordinates agree with the similarity's probability, or by chance in all SLICES bits. At 85: 38 and 400."""
+
+    def most(n: int, p: float, missed: float) -> int:
+        if p >= 1:
+            return n
+        total = 0.0
+        for k in range(n + 1):
+            total += exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p))
+            if total >= missed:
+                return max(1, k)
+        return n
+
+    if not 0 < similarity <= 100:
+        raise ValueError("similarity is a percentage above 0")
+    s = similarity / 100
+    return most(POSTED, s, MISSED_MATCHES), most(COORDINATES, s + (1 - s) / (1 << SLICES), MISSED_KEEP)
+
+
 def shingles(col: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each document, sorted; offsets)."""
     data, off = C.text_bytes(col)
@@ -110,7 +132,7 @@ def collisions(a: str, b: str):
     return F.lit(COORDINATES) - sum(parts[1:], parts[0])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     sides = F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("id"), F.lit(1).alias("side")))).alias("s")
     rows = pairs.select("a", "b", sides).select("a", "b", "s.id", "s.side")
@@ -124,7 +146,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for k in range(block.num_rows):
                 x, y = h[off[k] : off[k + 1]], g[goff[k] : goff[k + 1]]
                 same = np.intersect1d(x, y, assume_unique=True).size
-                ok[k] = 100 * same >= SIMILARITY * (x.size + y.size - same) and same > 0
+                ok[k] = 100 * same >= similarity * (x.size + y.size - same) and same > 0
             yield pa.RecordBatch.from_arrays([block.column(0).filter(pa.array(ok)), block.column(1).filter(pa.array(ok))], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -147,8 +169,11 @@ def components(edges: DataFrame) -> DataFrame:
         mark = (seen["n"], seen["h"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links.
+
+    Links are pairs of at least `similarity` percent."""
+    matches, keep = bounds(similarity)
     sets = C.cut(sets_of(docs))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "tokens", *PLANES), "doc_id").alias("s"))
     classes = C.cut(classes.select("k1", "k2", "id", "s.*"))
@@ -156,17 +181,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = posts.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     kept = posts.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("own"))
     m = F.size("own")
-    kept = kept.where(m >= MATCHES).select("id", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["f"]).alias("central"), F.slice("own", F.lit(1), m - (MATCHES - 1)).alias("own"))
+    kept = kept.where(m >= matches).select("id", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["f"]).alias("central"), F.slice("own", F.lit(1), m - (matches - 1)).alias("own"))
     lists = C.cut(kept.select("id", "central", F.explode("own.token").alias("token")))
     lead = lists.groupBy("token").agg(F.max_by("id", F.struct(F.col("central"), -F.col("id"))).alias("leader"), F.count("*").alias("size")).where("size > 1").select("token", "leader")
     met = C.cut(lists.join(lead, "token").select("token", "id", "leader"))
 
     meta = classes.select("id", "n", F.struct(*PLANES).alias("p"))
     other = meta.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-    alike = (100 * F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2")) & (collisions("p", "p2") >= KEEP)  # two sets of other sizes can't be similar
+    alike = (100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (collisions("p", "p2") >= keep)  # two sets of other sizes can't be similar
     near = met.where("id <> leader").select("id", F.col("leader").alias("id2")).distinct().join(meta, "id").join(other, "id2").where(alike)
     pairs = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    links = C.cut(confirm(pairs, docs))
+    links = C.cut(confirm(pairs, docs, similarity))
     first = components(links)
 
     grouped = met.join(first, "id", "left").select("token", "id", "leader", F.coalesce("root", "id").alias("c"))
@@ -176,7 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = rest.select(F.col("leader").alias("leader2"), *[F.col(c).alias(f"{c}2") for c in ("id", "c", "n", "p")])
     cross = rest.join(again, (F.col("leader") == F.col("leader2")) & (F.col("c") < F.col("c2")) & alike)
     more = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-    extra = C.cut(confirm(more, docs))
+    extra = C.cut(confirm(more, docs, similarity))
     last = components(links.unionByName(extra)) if extra.take(1) else first
 
     member = classes.select("k1", "k2", "id").join(last, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component"))
@@ -190,13 +215,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs whose document stands for its group (or has no id); columns pass unchanged."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__quarry_id")).distinct()
+    gone = near_duplicates(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__quarry_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__quarry_id"], "left_anti")
 
 
-def brute(texts: dict) -> dict:
+def brute(texts: dict, similarity: int = SIMILARITY) -> dict:
     """Reference by plain loops: doc_id -> (n_shingles, component_id). For tests."""
     sets = {}
     for d, t in texts.items():
@@ -216,7 +241,7 @@ def brute(texts: dict) -> dict:
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             n = len(sets[a] & sets[b])
-            if n and 100 * n >= SIMILARITY * (len(sets[a]) + len(sets[b]) - n):
+            if n and 100 * n >= similarity * (len(sets[a]) + len(sets[b]) - n):
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), top(d)) for d in ids}

@@ -36,6 +36,32 @@ def test_components_equal_brute_force(spark, seed):
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == sorted({c for _, c in got.values()}) and left.columns == df.columns
 
 
+def test_pairs_between_80_and_85_percent_are_linked_at_80(spark):
+    r = random.Random(5)
+    texts = []
+    for g in range(12):
+        base = words(r, 104)  # 100 shingles
+        copy = list(base)
+        for k in range(2):
+            copy[20 + 50 * k] = f"edit{g}"  # each hits 5 shingles: 90 of 110 are common
+        texts += [" ".join(base), " ".join(copy)]
+    texts = list(enumerate(texts))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert M.bounds(85) == (38, 400)
+    for similarity, groups in ((80, 12), (85, 24)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in M.near_duplicates(df, similarity).collect()}
+        assert got == M.brute(dict(texts), similarity) and len({c for _, c in got.values()}) == groups
+    assert M.keep_one(df, 80).count() == 12 and M.keep_one(df).count() == 24
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_at_80_equal_brute_force(spark, seed):
+    texts = near_case(seed)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in M.near_duplicates(df, 80).collect()}
+    assert got == M.brute(dict(texts), 80)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert M.near_duplicates(df).count() == 0

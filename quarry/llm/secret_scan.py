@@ -1,6 +1,8 @@
 """Secret scans: candidate strings and a random forest that removes false positives, in DataFrame functions only.
 
-A candidate is a run of 16 or more key characters with a digit in it. Its features are length, character shares and
+A candidate is a private-key block (PEM), a value of 4 or more visible characters that a key word is assigned to or that
+stands in quotes after a key word, a key with a known prefix, or a run of 16 or more key characters with a digit in it;
+values without a key word, prefix or digit, and assigned values with spaces, are none. Its features are length, character shares and
 transitions, dictionary coverage, the path (the `source` column) and the neighbouring words. The forest is grown by
 Spark's own random forest over labelled findings and then written out as one SQL expression (nested conditions), so that
 scoring is part of the scan: no join, no shuffle of texts, no Python on the executors. Labelled findings may be passed
@@ -19,23 +21,30 @@ from pyspark.sql import functions as F
 from quarry.llm import common as C
 from quarry.llm.quality_rules import let
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}"
+RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}"
+PREFIXED = r"(?<![A-Za-z0-9_+/\-])(?:AKIA|ASIA|gh[pousr]_|sk_live_|xox[abprs]-|AIza|glpat-)[A-Za-z0-9_+/\-]{12,}={0,2}"
+PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s]*[A-Za-z0-9+/=]|)"
+_WORDS = r"(?i:passwo?r?d|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential)s?"
+#: The short look-behinds come first: they fail at nearly every place, the long ones are costly.
+_QUOTED = "|".join(rf"(?<={q})(?<={_WORDS}[^A-Za-z0-9\r\n]{{0,6}}{q})[^\s{q}]{{4,}}(?={q})" for q in "\"'`")
+_ASSIGNED = rf"(?<=[=:>]\s{{0,3}})(?<={_WORDS}[\"'`]?\s{{0,3}}(?:[:=]=?|=>)\s{{0,3}})[^\s\"'`]\S{{3,}}(?<![.,;\"'`])"
+CANDIDATE = f"{PEM}|{_QUOTED}|{_ASSIGNED}|{PREFIXED}|{RUN}"
 NEAR = 48  # characters looked at on either side
 TREES, DEPTH, FINDINGS, SEED = 15, 6, 6_000, 7
 NEXT = 12  # of these, so many where a word speaks against a secret
 REDACTED = "[SECRET]"
 #: Words that mark a key, a look-alike, and common parts of identifiers.
-KEY_WORDS = r"(passwo?r?d|pwd|secret|token|api.?key|access.?key|auth|credential)[^a-z]{0,6}$"
+KEY_WORDS = r"(passwo?r?d|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential)s?[^a-z]{0,6}$"
 LOOKALIKE_WORDS = r"example|sample|dummy|placeholder|your[_\-]|x{6}|changeme|uuid|commit|checksum|sha1|sha256|md5|card|phone|order|invoice"
 KEY_PREFIX = r"^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[abprs]-|AIza|glpat-)"
 DICTIONARY = ("test", "case", "name", "user", "file", "path", "local", "site", "page", "index", "table", "column", "value", "number", "type", "data", "model", "version", "python", "package", "config", "server", "client", "class", "method", "string", "build", "module", "image", "node", "item", "list", "object", "function", "error", "message", "date", "time", "usr", "lib", "bin", "http", "www", "the", "and", "ing", "tion")
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "distinct", "runs", "hexadecimal", "dictionary", "prefix", "key_word", "assigned", "quoted", "lookalike", "test_path")
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "distinct", "runs", "hexadecimal", "dictionary", "prefix", "key_word", "assigned", "quoted", "lookalike", "test_path", "marks", "code", "pem", "vowels")
 
 
 def features(c: Column, left: Column, right: Column, path: Column) -> dict[str, Column]:
     """Features of a candidate with its neighbourhood and path."""
     n = F.length(c)
-    part = lambda keep: F.length(F.regexp_replace(c, f"[^{keep}]", "")) / n
+    part = lambda keep: F.length(F.regexp_replace(c, f"[{keep[1:]}]" if keep[0] == "^" else f"[^{keep}]", "")) / n
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
     flag = lambda x: F.when(x, F.lit(1.0)).otherwise(F.lit(0.0))
     return {
@@ -50,6 +59,10 @@ def features(c: Column, left: Column, right: Column, path: Column) -> dict[str,
         "assigned": flag(left.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(left.rlike(r"[\"']$")),
         "lookalike": flag(F.lower(F.concat(F.right(left, F.lit(NEXT)), c, F.left(right, F.lit(NEXT)))).rlike(LOOKALIKE_WORDS)),
+        "marks": part(r"^A-Za-z0-9_+/\-="),
+        "code": flag(c.rlike(r"^[\w.]+[(\[]|\(\)|^[$%]?[{<(\[]|^[$%][A-Za-z_]+%?$|^[a-z_]+(\.[a-z_]+)+|^[*.xX_\-]+$|://|->|::")),
+        "pem": flag(c.rlike("^-----BEGIN ")),
+        "vowels": F.length(F.regexp_replace(F.lower(c), "[^aeiou]", "")) / n,
         "test_path": flag(F.lower(path).rlike("test|example|sample|fixture|docs?/")),
     }
 
@@ -63,6 +76,7 @@ def generated_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     some = lambda low, high: (F.lit(low) + F.pmod(F.xxhash64("id"), F.lit(high - low + 1))).cast("int")
     cut = lambda x, k: F.substr(x, F.lit(1), k if isinstance(k, Column) else F.lit(k))
     word = lambda salt: F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    letters = lambda salt, k: F.translate(cut(raw(salt), k), "0123456789abcdef", "qwertyuiopzsdgjk")
     text = F.concat(F.lit("then "), word("a"), F.lit(" and the "), word("b"), F.lit(" "))
     kinds = [  # label, candidate, text before, text after
         (1, cut(raw("p"), some(16, 40)), F.concat(text, F.lit("password=")), F.lit(" ")),
@@ -71,6 +85,21 @@ def generated_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (1, F.concat(F.lit("ghp_"), cut(plain("g"), 36)), text, F.lit(" ")),
         (1, cut(plain("s"), some(24, 48)), F.concat(text, F.lit("secret: ")), F.lit("\n")),
         (1, cut(plain("m"), some(20, 40)), F.concat(text, F.lit("api_key='")), F.lit("' ")),
+        (1, F.concat(cut(F.lower(plain("h")), some(5, 9)), cut(digits, 1), cut(plain("i"), some(2, 6))), F.concat(text, F.lit("password=")), F.lit(" ")),
+        (1, F.concat(cut(plain("n"), some(4, 9)), F.lit("&"), cut(digits, 1), cut(plain("o"), some(2, 6))), F.concat(text, F.lit('password = "')), F.lit('"\n')),
+        (1, F.concat(cut(plain("q"), some(3, 6)), F.lit("!"), cut(digits, 1), cut(plain("r"), some(2, 5)), F.lit("@$"), cut(plain("y"), some(3, 5))), F.concat(text, F.lit("pwd='")), F.lit("' ")),
+        (1, letters("A", some(16, 40)), F.concat(text, F.lit("secret: ")), F.lit(" ")),
+        (1, F.concat(F.lit("AKIA"), F.upper(letters("B", 16))), text, F.lit(" ")),
+        (1, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), plain("C"), F.lit("\n-----END RSA PRIVATE KEY-----")), text, F.lit("\n")),
+        (1, F.element_at(F.array(*[F.lit(f"-----BEGIN {k}PRIVATE KEY-----") for k in ("RSA ", "EC ", "OPENSSH ", "")]), some(1, 4)), text, F.lit("\n")),
+        (0, word("D"), F.concat(text, F.lit("password: ")), F.lit(" and then")),
+        (0, F.concat(word("E"), word("F")), F.concat(text, F.lit("secret: ")), F.lit(" is the")),
+        (0, F.concat(word("G"), F.lit("-"), word("H")), F.concat(text, F.lit('token "')), F.lit('" ')),
+        (0, F.concat(F.lit("get_"), word("I"), F.lit("()")), F.concat(text, F.lit("token = ")), F.lit("\n")),
+        (0, F.concat(word("J"), F.lit("."), word("K"), F.lit("["), word("L"), F.lit("]")), F.concat(text, F.lit("password = ")), F.lit("\n")),
+        (0, F.concat(F.lit("${"), F.upper(word("M")), F.lit("}")), F.concat(text, F.lit("password=")), F.lit("\n")),
+        (0, F.concat(F.lit("<"), word("N"), F.lit(">")), F.concat(text, F.lit("api_key: ")), F.lit("\n")),
+        (0, F.element_at(F.array(*[F.lit(x) for x in ("None", "null", "true", "False", "********", "required", "string", "invalid")]), some(1, 8)), F.concat(text, F.lit("password=")), F.lit(" ")),
         (0, cut(digits, some(16, 19)), text, F.lit(". ")),
         (0, cut(raw("c"), 40), F.concat(text, F.lit("commit ")), F.lit(" ")),
         (0, F.concat_ws("-", cut(raw("u"), 8), cut(raw("v"), 4), cut(raw("w"), 4), cut(raw("x"), 4), cut(raw("y"), 12)), F.concat(text, F.lit("id ")), F.lit(" ")),
@@ -81,7 +110,7 @@ def generated_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, cut(raw("z"), 64), F.concat(text, F.lit("sha256 ")), F.lit(" ")),
     ]
     rows = F.element_at(F.array(*[F.struct(c.alias("candidate"), a.alias("left"), b.alias("right"), F.lit(y).alias("label")) for y, c, a, b in kinds]), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int"))
-    path = F.when(F.pmod(F.xxhash64(F.lit("path"), "id"), F.lit(10)) == 0, F.when(F.pmod("id", F.lit(len(kinds))) < 6, "src/main").otherwise("tests/data")).otherwise("src0")
+    path = F.when(F.pmod(F.xxhash64(F.lit("path"), "id"), F.lit(10)) == 0, F.when(F.element_at(F.array(*[F.lit(y) for y, *_ in kinds]), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int")) == 1, "src/main").otherwise("tests/data")).otherwise("src0")
     return spark.range(0, n, 1, 1).select(rows.alias("r"), path.alias("path")).select("r.*", "path")
 
 

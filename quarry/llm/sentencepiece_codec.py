@@ -165,6 +165,7 @@ class Model:
         self.plain = not charsmap
         self.cache: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
+        self.raw: dict[str, bytes] = {}  # bytes of each piece by its id as text, filled at the first use
 
     def join(self, ids: list[int]) -> list[tuple[int, int]]:
         """(piece, symbols it covers) after all joins; _MISSING never joins."""
@@ -295,6 +296,24 @@ class Model:
         return "".join(out)
 
 
+    def decode_joined(self, ids: str) -> str:
+        """decode() of ids joined by commas: the pieces' bytes at once, unless they are ill-formed or start unusually."""
+        if not ids:
+            return ""
+        if not self.raw:
+            special = {UNKNOWN: " ⁇ ".encode(), CONTROL: b""}
+            self.raw = {str(i): bytes([int(p[3:5], 16)]) if k == BYTE else special[k] if k in special else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))}
+        first = int(ids.split(",", 1)[0])
+        if self.kinds[first] != CONTROL:
+            try:
+                text = b"".join(map(self.raw.__getitem__, ids.split(","))).decode()
+            except UnicodeDecodeError:
+                pass
+            else:
+                return text[1:] if self.dummy_prefix and self.kinds[first] not in (BYTE, UNKNOWN) and self.pieces[first].startswith(SPACE) else text
+        return self.decode([int(i) for i in ids.split(",")])
+
+
 def ill_formed(data: bytes) -> str:
     out, at = [], 0
     while at < len(data):
@@ -331,7 +350,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ends = np.cumsum(np.frombuffer(got[3], "<u4"), dtype=np.int64)
                 ids.append([int(x) for x in got[0].split(",")] if got[1] else [])
                 spans.append([{"begin": int(a), "end": int(b)} for a, b in zip(np.concatenate(([0], ends))[:-1], ends, strict=True)])
-                shown.append(got[2])
+                shown.append(m.decode_joined(got[0]))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(spans, pa.list_(pair)), pa.array(shown, pa.string())], ["doc_id", "ids", "spans", "decoded"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, spans array<struct<begin:long,end:long>>, decoded string")
@@ -350,7 +369,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
             rows = [m.encode(text or "") for text in block.column(1).to_pylist()]
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
             covered = [int(np.frombuffer(r[3], "<u4").sum()) for r in rows]
-            yield pa.RecordBatch.from_arrays([block.column(0), C.as_long([r[1] for r in rows]), pa.array([sha(r[0]) for r in rows]), pa.array([sha(r[2]) for r in rows]), C.as_long(covered)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
+            yield pa.RecordBatch.from_arrays([block.column(0), C.as_long([r[1] for r in rows]), pa.array([sha(r[0]) for r in rows]), pa.array([sha(m.decode_joined(r[0])) for r in rows]), C.as_long(covered)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
 
@@ -368,7 +387,7 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
             flat = ",".join(r[0] for r in rows if r[1])
             ids = np.array(flat.split(","), dtype=np.int32) if flat else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids))
-            same = [r[2] == (t or "") for r, t in zip(rows, texts, strict=True)]
+            same = [m.decode_joined(r[0]) == (t or "") for r, t in zip(rows, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), block.column(2), lists, pa.array(n), pa.array(same)], ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, lang string, source string, ids array<int>, n_tokens long, round_trip boolean")

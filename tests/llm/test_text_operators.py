@@ -78,6 +78,38 @@ def test_pieces_equal_the_library(spark):
     assert [("the fox".encode()[s["begin"] : s["end"]]).decode() for s in a["spans"]] == ["the", " f", "ox"] and b["ids"] == [] and b["decoded"] == ""
 
 
+def test_decoding_starts_from_the_ids(spark, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    m = S.model(S.default_model())
+    r = random.Random(4)
+    for _ in range(300):  # any ids, well-formed or not
+        ids = [r.randrange(len(m.pieces)) if r.random() < 0.6 else 3 + r.randrange(256) for _ in range(r.randint(1, 8))]
+        assert m.decode_joined(",".join(map(str, ids))) == m.decode(ids)
+    for t in ["", " ", "  a", "▁x", "é漢😀 the\n", "the fox"]:
+        assert m.decode_joined(m.encode(t)[0]) == m.encode(t)[2]
+
+    class Rows:  # runs an operator's function here, not in a worker
+        def __getitem__(self, name):
+            return F.lit(0)
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return [x for b in run(iter([self.batch])) for x in b.to_pylist()]
+
+    encode, wrong = m.encode, m.encode("the cat")
+    monkeypatch.setattr(m, "encode", lambda t: (wrong[0], *wrong[1:2], *encode(t)[2:]))
+    docs = Rows()
+    docs.batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["the fox"]})
+    assert S.digest(docs)[0]["decoded_sha256"] == hashlib.sha256(b"the cat").hexdigest()
+    docs.batch = pa.RecordBatch.from_pydict({"doc_id": [1], "lang": ["en"], "source": ["s"], "text": ["the fox"]})
+    assert not S.tokenize(docs)[0]["round_trip"]
+
+
 def test_character_map_takes_the_longest_key():
     import struct
 

@@ -1,7 +1,7 @@
 """MinHash near-duplicate classes by a signature-coordinate inverted join.
 
 1. Each document's set of distinct 5-word shingles becomes a signature of COORDINATES minima. Equal sets are one class
-   from here on (key: two 64-bit sums over the set), so exact copies never meet in a list.
+   from here on (key: a 64-bit hash of two 64-bit sums over the set), so exact copies never meet in a list.
 2. Classes are posted under each of POSTED coordinate-value pairs. A pair that occurs once links nothing. A class keeps
    its other pairs in order of rising frequency, and only their prefix: two classes with at least MATCHES common
    coordinates must share one of the first m - MATCHES + 1 of a class's m shared pairs (prefix merging; a class with
@@ -10,15 +10,21 @@
    stays if the collisions over all COORDINATES reach KEEP. Collisions are counted 64 at a time on 4-bit slices.
 4. The pairs' full shingle sets are compared; links are pairs with 100 * intersection >= similarity * union. Components of the
    links follow by large-star and small-star steps (joins, no collected neighbour lists).
-5. Lists that hold more than one component may still hide links between them: their members meet again, leader by
-   leader, across components only, with the same count, confirmation and component steps.
+5. Lists that hold more than one component may still hide links between them (`cross_links`). A member is then described
+   by its difference to the leader's set. Two members of different components can only be linked if their differences
+   overlap by a number that follows from their sizes, so elements that no other difference of the leader has count
+   for nothing: members with too few of the others are skipped, the rest meet under the rarest of them only. The edits of
+   near copies are mostly their own, so in a group of copies that lie just under the threshold nearly all are skipped and
+   the comparisons don't grow with the square of the group.
 
 So a group of m near copies costs about m pairs, not m * m, and no link between components is left out except by the
 count's error: a pair at exactly the similarity falls under MATCHES or KEEP with probability below 1e-6.
 
 Defined cases: null or word-less text has an empty set, links to nothing and is its own component; fewer than 5 words are
-one shingle; a null doc_id is never linked; rows that repeat a doc_id share its component. Only doc_id and text are
-read, so further columns may carry any name. Shingles are compared by 64-bit hashes.
+one shingle; a null doc_id is never linked (its component is null); rows that repeat a doc_id are one document to the links,
+whatever their texts: they share its component, and n_shingles is each row's own; equal similarities (ties) all link; texts
+of any length are taken whole; an empty table gives an empty result. Only doc_id and text are read, so further columns
+may carry any name. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -92,20 +98,29 @@ def signatures(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return C.mix(out)
 
 
+def keys_of(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The class key of each set; that of an empty set is 0."""
+    n = np.diff(off)
+    some = np.flatnonzero(n)
+    out = np.zeros(n.size, _U)
+    if some.size:
+        k1 = np.add.reduceat(C.mix(h ^ _U(0x1234567)), off[:-1][some])
+        k2 = np.add.reduceat(C.mix(h + _U(0x89ABCDEF)), off[:-1][some])
+        out[some] = C.mix(C.mix(k1 + _U(1)) ^ C.mix(k2 + n[some].astype(_U)))
+    return out.astype(np.int64)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k1, k2 (key of the set), the posted coordinate-value pairs and the 4-bit slices."""
+    """doc_id, n (set size), key (of the set), the posted coordinate-value pairs and the 4-bit slices."""
 
     def run(batches):
         for block in C.blocks(batches):
             h, off = shingles(block.column(1))
             n = np.diff(off)
             some = np.flatnonzero(n)
-            k1, k2 = np.zeros(n.size, _U), np.zeros(n.size, _U)
             tokens = np.zeros((n.size, POSTED), np.int64)
             planes = np.zeros((n.size, len(PLANES)), _U)
             if some.size:
-                k1[some] = np.add.reduceat(C.mix(h ^ _U(0x1234567)), off[:-1][some])
-                k2[some] = np.add.reduceat(C.mix(h + _U(0x89ABCDEF)), off[:-1][some])
                 sig = signatures(h, np.append(off[:-1][some], off[-1]))
                 tokens[some] = (C.mix(sig[:, :POSTED] ^ np.arange(POSTED, dtype=_U)[None, :] * _U(0x9E3779B97F4A7C15))).astype(np.int64)
                 bit = _U(1) << np.arange(64, dtype=_U)
@@ -113,10 +128,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     for s in range(SLICES):
                         planes[some, j * SLICES + s] = (((sig[:, j * 64 : j * 64 + 64] >> _U(60 + s)) & _U(1)) * bit[None, :]).sum(axis=1, dtype=_U)
             flat = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(n > 0, POSTED, 0)))).astype(np.int32), pa.array(tokens[some].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), flat, *[pa.array(planes[:, k].astype(np.int64)) for k in range(len(PLANES))]], ["doc_id", "n", "k1", "k2", "tokens", *PLANES])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), pa.array(keys_of(h, off)), flat, *[pa.array(planes[:, k].astype(np.int64)) for k in range(len(PLANES))]], ["doc_id", "n", "key", "tokens", *PLANES])
 
-    schema = "doc_id long, n long, k1 long, k2 long, tokens array<long>, " + ", ".join(f"{p} long" for p in PLANES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, n long, key long, tokens array<long>, " + ", ".join(f"{p} long" for p in PLANES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return rows.withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")))  # an empty document is alone
 
 
 def collisions(a: str, b: str):
@@ -132,24 +148,65 @@ def collisions(a: str, b: str):
     return F.lit(COORDINATES) - sum(parts[1:], parts[0])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    sides = F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("id"), F.lit(1).alias("side")))).alias("s")
-    rows = pairs.select("a", "b", sides).select("a", "b", "s.id", "s.side")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    both = rows.join(texts, "id").groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("text"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("other"))
+def hash_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(id, hs): the full shingle set (sorted hashes) of each class in need (id, rep: a document that has it)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(need, "rep").select("id", "text")
 
     def run(batches):
         for block in C.blocks(batches):
-            (h, off), (g, goff) = shingles(block.column(2)), shingles(block.column(3))
-            ok = np.zeros(block.num_rows, bool)
-            for k in range(block.num_rows):
-                x, y = h[off[k] : off[k + 1]], g[goff[k] : goff[k + 1]]
-                same = np.intersect1d(x, y, assume_unique=True).size
-                ok[k] = 100 * same >= similarity * (x.size + y.size - same) and same > 0
-            yield pa.RecordBatch.from_arrays([block.column(0).filter(pa.array(ok)), block.column(1).filter(pa.array(ok))], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+            h, off = shingles(block.column(1))
+            own = keys_of(h, off) == np.asarray(block.column(0), dtype=np.int64)  # another row of the document may have another text
+            sets = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([block.column(0), sets], ["id", "hs"]).filter(pa.array(own))
+
+    return texts.mapInArrow(run, "id long, hs array<long>").groupBy("id").agg(F.first("hs").alias("hs"))
+
+
+def confirm(pairs: DataFrame, full: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets (hash_sets) are similar enough."""
+    both = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("hs").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("hs").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where((100 + similarity) * same >= similarity * (F.size("x") + F.size("y")).cast("long")).select("a", "b")
+
+
+def cross_links(rest: DataFrame, full: DataFrame, similarity: int = SIMILARITY, counts: dict | None = None) -> DataFrame:
+    """Links (a, b) between members of different components in the groups of rest (leader, id, c, p).
+
+    With the differences Dx, Dy of two members to the leader's set, their own difference has |Dx| + |Dy| - 2 o elements, o being
+    the overlap of Dx and Dy. They are linked if and only if 2 (100 + s) o >= qx + qy, q = (100 + s) |D| - (100 - s) n. A pair
+    with qx + qy <= 0 is linked to the leader on both sides and so in one component already; any other needs an overlap.
+    Its elements belong to two differences at least, and no member has more than its m elements of this kind: a partner of x has
+    qy <= 2 (100 + s) mx - qx, its room. The least q of all whose room admits x bounds the overlap that x needs, hence the
+    prefix of its elements, rarest first, under which it meets others. counts, if given, receives the numbers of rows."""
+    unit, near = 2 * (100 + similarity), 100 - similarity
+    here, there = F.array_except("x", "y"), F.array_except("y", "x")
+    rows = rest.select("leader", "id", "c").join(full.select("id", F.col("hs").alias("x")), "id").join(full.select(F.col("id").alias("leader"), F.col("hs").alias("y")), "leader")
+    rows = rows.select("leader", "id", "c", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("base"), F.concat(here, there).alias("d"))
+    rows = C.cut(rows.withColumn("q", F.lit(100 + similarity) * F.size("d") - F.lit(near) * F.col("n")))
+    each = rows.select("leader", "id", F.explode("d").alias("e"))
+    often = each.groupBy("leader", "e").agg(F.count("*").alias("f")).where("f > 1")
+    own = each.join(often, ["leader", "e"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("own"))
+    rows = rows.select("leader", "id", "c", "q", "base").join(own, ["leader", "id"]).withColumn("m", F.size("own").cast("long"))
+    step = lambda v: F.floor(16 * F.log2(1 + F.greatest(v, F.lit(0)) / (F.lit(near) * F.col("base") + 1))).cast("int")  # noqa: E731  rising in v
+    rows = C.cut(rows.withColumn("admits", step(unit * F.col("m") - F.col("q"))))
+    room = rows.groupBy("leader", "admits").agg(F.min("q").alias("q")).groupBy("leader").agg(F.collect_list(F.struct("admits", "q")).alias("room"))
+    room = C.cut(room)  # some hundred steps a leader at most; written, so that the join with it can split a leader's members
+    least = F.array_min(F.transform(F.filter("room", lambda r: r["admits"] >= step(F.col("q"))), lambda r: r["q"]))
+    rows = rows.join(room, "leader").withColumn("least", least).where("least is not null")
+    rows = rows.withColumn("needs", F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("least")) / unit)).cast("int")).where(F.col("needs") <= F.col("m"))
+    rows = C.cut(rows.select("leader", "id", "c", "q", "m", F.slice("own.e", F.lit(1), (F.col("m") - F.col("needs") + 1).cast("int")).alias("prefix"), F.col("own.e").alias("d")))
+    several = rows.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("leader")
+    posts = rows.join(several, "leader", "left_semi").select("leader", "id", "c", "q", "m", F.explode("prefix").alias("e")).join(rest.select("leader", "id", "p"), ["leader", "id"])
+    again = posts.select("leader", "e", *[F.col(c).alias(f"{c}2") for c in ("id", "c", "q", "m", "p")])
+    fits = (F.col("c") < F.col("c2")) & (F.col("q") + F.col("q2") <= unit * F.least("m", "m2"))
+    met = posts.join(again, ["leader", "e"]).where(fits & (collisions("p", "p2") >= bounds(similarity)[1]))
+    met = C.cut(met.select("leader", "id", "id2", "q", "q2").distinct())
+    if counts is not None:
+        counts.update(members=rest.count(), left=rows.count(), pairs=met.count())
+    diffs = rows.select("leader", "id", "d")
+    met = met.join(diffs, ["leader", "id"]).join(diffs.select("leader", F.col("id").alias("id2"), F.col("d").alias("d2")), ["leader", "id2"])
+    sure = met.where(unit * F.size(F.array_intersect("d", "d2")).cast("long") >= F.col("q") + F.col("q2"))
+    return sure.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,39 +232,43 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     Links are pairs of at least `similarity` percent."""
     matches, keep = bounds(similarity)
     sets = C.cut(sets_of(docs))
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "tokens", *PLANES), "doc_id").alias("s"))
-    classes = C.cut(classes.select("k1", "k2", "id", "s.*"))
+    known = sets.where("doc_id is not null")
+    classes = known.where("n > 0").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "tokens", *PLANES)).alias("s"))
+    classes = C.cut(classes.select("id", "rep", "s.*"))
     posts = classes.select("id", F.explode("tokens").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     kept = posts.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("own"))
     m = F.size("own")
     kept = kept.where(m >= matches).select("id", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["f"]).alias("central"), F.slice("own", F.lit(1), m - (matches - 1)).alias("own"))
     lists = C.cut(kept.select("id", "central", F.explode("own.token").alias("token")))
-    lead = lists.groupBy("token").agg(F.max_by("id", F.struct(F.col("central"), -F.col("id"))).alias("leader"), F.count("*").alias("size")).where("size > 1").select("token", "leader")
+    lead = lists.groupBy("token").agg(F.max_by("id", F.struct("central", "id")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("token", "leader")
     met = C.cut(lists.join(lead, "token").select("token", "id", "leader"))
+    need = classes.select("id", "rep").join(met.select("id").distinct(), "id", "left_semi")
+    full = C.cut(hash_sets(docs, need))
 
     meta = classes.select("id", "n", F.struct(*PLANES).alias("p"))
     other = meta.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
     alike = (100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (collisions("p", "p2") >= keep)  # two sets of other sizes can't be similar
     near = met.where("id <> leader").select("id", F.col("leader").alias("id2")).distinct().join(meta, "id").join(other, "id2").where(alike)
-    pairs = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    links = C.cut(confirm(pairs, docs, similarity))
+    links = C.cut(confirm(near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), full, similarity))
     first = components(links)
 
     grouped = met.join(first, "id", "left").select("token", "id", "leader", F.coalesce("root", "id").alias("c"))
     mixed = grouped.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     rest = grouped.join(mixed, "token", "left_semi").select("leader", "id", "c").distinct()
-    rest = C.cut(rest.join(meta, "id").select("leader", "id", "c", "n", "p"))
-    again = rest.select(F.col("leader").alias("leader2"), *[F.col(c).alias(f"{c}2") for c in ("id", "c", "n", "p")])
-    cross = rest.join(again, (F.col("leader") == F.col("leader2")) & (F.col("c") < F.col("c2")) & alike)
-    more = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-    extra = C.cut(confirm(more, docs, similarity))
-    last = components(links.unionByName(extra)) if extra.take(1) else first
-
-    member = classes.select("k1", "k2", "id").join(last, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component"))
-    return sets.select("doc_id", "n", "k1", "k2").join(member, ["k1", "k2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    rest = C.cut(rest.join(meta.select("id", "p"), "id"))
+    extra = C.cut(cross_links(rest, full, similarity))
+
+    ids = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")  # documents of several texts
+    ids = known.select("doc_id", F.col("key").alias("b")).join(ids.select("doc_id", "a"), "doc_id").where("a <> b").select("a", "b").distinct()
+    last = components(links.unionByName(extra).unionByName(ids))
+    last = last.unionByName(last.select(F.col("root").alias("id"), "root").distinct())
+
+    reps = known.groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("rep"))
+    roots = reps.join(last, "id").groupBy("root").agg(F.min("rep").alias("component"))
+    member = reps.join(last, "id", "left").join(roots, "root", "left").select(F.col("id").alias("key"), F.coalesce("component", "rep").alias("component"))
+    out = sets.select("doc_id", "n", "key").join(member, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,17 +8,21 @@ one plan of exchanges whose rows are packed arrays, so no key, however frequent,
    (doc_id modulo a prime) which anchors repeat anywhere.
 2. A shard takes the texts of its documents, and for each repeated anchor the context: the bytes of all LENGTH-byte
    strings with this minimum. Of equal contexts only the smallest document asks on; the others are decided at once.
-3. A bucket of contexts sorts the suffixes that start in them, to LENGTH bytes: multikey sorting on 8-byte digits to
-   SHALLOW bytes, then blind tries for the groups whose common prefix is longer. Runs of equal suffixes are the equal
-   strings of the corpus; the smallest document of each run keeps its own, the others get removal spans.
-4. The shards merge all spans per document (the exchange of their texts is used again) and cut them out.
-
-Step 3 compares the first SHALLOW bytes directly and folds equal remainders by 64-bit hash before the tries; the hashes of
-steps 1 and 2 choose contexts and join equal ones.
-
-Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a null doc_id takes no part (nothing is
-removed there, nor because of it); rows that repeat a doc_id are one document to the rule and are cut alike where they are
-equal; spans may cut a character, so the kept bytes are binary. Only doc_id and text are read.
+3. A bucket of contexts sorts the suffixes that start in them, to LENGTH bytes: multikey quicksort, 8 bytes being one
+   character, to SHALLOW bytes, then blind tries for the groups whose common prefix is longer. Strings that end in one
+   leaf of a trie are the equal strings of the corpus; the smallest document of each keeps its own, the others get
+   removal spans.
+4. The shards merge all spans per row (the exchange of their texts is used again) and cut them out.
+
+The hashes of steps 1 and 2 only choose what is compared: contexts of one hash are compared byte by byte before they count
+as equal, and equal strings are those that the sort and the tries put together. Shards are SHARD_BYTES large, and larger
+with the square root of the input beyond ROOT_BYTES, so that the rows between shards and buckets stay packed.
+
+Defined cases: null text is empty; texts under LENGTH bytes lose nothing; very long texts are one shard's work and taken
+whole; a null doc_id takes no part (nothing is removed there, nor because of it); rows that repeat a doc_id are one
+document to the rule, but each row is cut by its own spans (rows equal in id and text are cut alike); ties cannot arise, the
+smallest doc_id being one number; spans may cut a character, so the kept bytes are binary; an empty table gives an empty
+result. Only doc_id and text are read, so further columns may carry any name.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from quarry.llm import common as C
 
 LENGTH, ANCHOR, SHALLOW = 50, 24, 24
-SHARD_BYTES = 6 << 20
+SHARD_BYTES, ROOT_BYTES = 6 << 20, 32 << 30
 FLUSH = 1_000_000  # anchors that a task gathers before it sends them
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
@@ -180,6 +184,45 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def same_bytes(data: np.ndarray, at: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[at:at+size] equals data[to:to+size], for each entry; sizes are above 0."""
+    out = np.ones(at.size, bool)
+    for part in np.array_split(np.arange(at.size), max(1, int(size.sum()) >> 22)):
+        if part.size:
+            n = size[part]
+            apart = data[ragged(at[part], n)] != data[ragged(to[part], n)]
+            out[part] = ~np.logical_or.reduceat(apart, np.cumsum(n) - n)
+    return out
+
+
+def equal_contexts(data: np.ndarray, begin: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The class of each context: equal hashes whose bytes are equal too."""
+    left, out, classes = np.arange(h.size), np.zeros(h.size, np.int64), 0
+    while left.size:
+        _, first, group = np.unique(h[left], return_index=True, return_inverse=True)
+        head = left[first][group]
+        ok = (size[left] == size[head])
+        ok[ok] = same_bytes(data, begin[left[ok]], begin[head[ok]], size[left[ok]])
+        out[left[ok]] = classes + group[ok]
+        classes += first.size
+        left = left[~ok]
+    return out
+
+
+def row_numbers(texts: pa.Table) -> np.ndarray:
+    """The number of each row among the different texts of its doc_id (in the order of their bytes); nearly always 0."""
+    ids = np.asarray(texts["doc_id"], dtype=np.int64)
+    out = np.zeros(ids.size, np.int64)
+    order = np.argsort(ids, kind="stable")
+    again = np.flatnonzero(ids[order][1:] == ids[order][:-1])
+    for d in np.unique(ids[order][again]):
+        rows = np.flatnonzero(ids == d)
+        own = [texts["text"][int(k)].as_py() or "" for k in rows]
+        number = {t: k for k, t in enumerate(sorted(set(own), key=str.encode))}
+        out[rows] = [number[t] for t in own]
+    return out
+
+
 def _contexts(n_buckets: int):
     """Step 2, per shard: requests (kind 0) with contexts, and spans that are decided already (kind 1)."""
 
@@ -189,8 +232,8 @@ def _contexts(n_buckets: int):
             shard = int(replies["shard"][0].as_py())
             d, h = joined(replies["docs"].to_pylist(), np.int64), joined(replies["hashes"].to_pylist(), _U)
             known = np.unique(C.mix(h ^ (d.astype(_U) * _U(0x9E3779B97F4A7C15))))
-            parts, doc, place, size, ctx, anchor = [], [], [], [], [], []
-            texts = texts.filter(pa.compute.is_in(texts["doc_id"], pa.array(np.unique(d))))
+            parts, doc, number, place, size, ctx, anchor = [], [], [], [], [], [], []
+            texts = texts.append_column("number", pa.array(row_numbers(texts))).filter(pa.compute.is_in(texts["doc_id"], pa.array(np.unique(d))))
             for block in C.blocks(texts.combine_chunks().to_batches(), 1 << 20):
                 data, off = C.text_bytes(block.column(block.schema.get_field_index("text")))
                 at, hash_at, first, last = anchors(data, off)
@@ -206,19 +249,20 @@ def _contexts(n_buckets: int):
                 ctx.append(C.mix(C.span_hashes(data, a, a + n) + n.astype(_U)))
                 anchor.append(hash_at[hit])
                 doc.append(ids[row[hit]])
+                number.append(np.asarray(block.column(block.schema.get_field_index("number")), dtype=np.int64)[row[hit]])
                 place.append(a - off[row[hit]])
                 size.append(n)
             if parts:
-                doc, place, size, ctx, anchor = map(np.concatenate, (doc, place, size, ctx, anchor))
-                _, group = np.unique(ctx, return_inverse=True)
+                doc, number, place, size, ctx, anchor = map(np.concatenate, (doc, number, place, size, ctx, anchor))
+                blob = np.concatenate([x[ragged(a, n)] for x, a, n in parts])
+                begin = np.cumsum(size) - size
+                group = equal_contexts(blob, begin, size, ctx)
                 least = np.full(group.max() + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, group, doc)
                 asks = doc == least[group]
                 late = np.flatnonzero(~asks)
                 if late.size:
-                    out.append((shard % n_buckets, 1, shard, pack(doc[late]), pack(place[late]), pack(place[late] + size[late]), b""))
-                blob = np.concatenate([x[ragged(a, n)] for x, a, n in parts])
-                begin = np.cumsum(size) - size
+                    out.append((shard % n_buckets, 1, shard, pack(doc[late]), pack(number[late]), pack(place[late]), pack(place[late] + size[late]), b""))
                 bucket = np.minimum((anchor >> _U(32)) * _U(n_buckets) >> _U(32), _U(n_buckets - 1)).astype(np.int64)
                 pick = np.flatnonzero(asks)
                 pick = pick[np.argsort(bucket[pick], kind="stable")]
@@ -227,55 +271,55 @@ def _contexts(n_buckets: int):
                 for k in np.flatnonzero(np.diff(cut)):
                     own = pick[cut[k] : cut[k + 1]]
                     text = blob[ragged(begin[own], size[own])]
-                    out.append((int(k), 0, shard, pack(doc[own]), pack(place[own]), pack(size[own].astype(np.int16)), press.compress(text.tobytes())))
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()), *[pa.array([x[k] for x in out], pa.binary()) for k in (3, 4, 5, 6)]], ["bucket", "kind", "shard", "docs", "begins", "ends", "blob"])
+                    out.append((int(k), 0, shard, pack(doc[own]), pack(number[own]), pack(place[own]), pack(size[own].astype(np.int16)), press.compress(text.tobytes())))
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()), *[pa.array([x[k] for x in out], pa.binary()) for k in (3, 4, 5, 6, 7)]], ["bucket", "kind", "shard", "docs", "numbers", "begins", "ends", "blob"])
 
     return run
 
 
 class BlindTrie:
-    """Orders distinct strings of one length: a node keeps the place of the first difference and one branch for each byte
-    there; an insertion walks down by these bytes alone, compares with the leaf it meets, and branches at the difference."""
+    """Orders strings of one length: a node keeps the place of the first difference and one branch for each byte there; an
+    insertion walks down by these bytes alone, compares with the leaf it meets, and ends there if it is equal, else
+    branches at the first difference. So a leaf holds all strings that are equal."""
 
     def __init__(self, strings: list[bytes]):
-        self.strings = strings
-        self.root = None  # a leaf is a number, a node is [depth, {byte: child}]
-        for k in range(len(strings)):
-            self.insert(k)
-
-    def insert(self, new: int) -> None:
-        s = self.strings[new]
-        if self.root is None:
-            self.root = new
-            return
+        self.root = None  # a leaf is (string, numbers), a node is [depth, {byte: child}, some leaf below]
+        for k, s in enumerate(strings):
+            self.insert(k, s)
+
+    def insert(self, new: int, s: bytes) -> None:
         node = self.root
-        while not isinstance(node, int):
-            node = node[1].get(s[node[0]]) if s[node[0]] in node[1] else next(iter(node[1].values()))
-        t = self.strings[node]
-        x = int.from_bytes(s, "big") ^ int.from_bytes(t, "big")
-        if not x:
+        if node is None:
+            self.root = (s, [new])
             return
-        depth = len(s) - (x.bit_length() + 7) // 8
-        parent, node = None, self.root
-        while not isinstance(node, int) and node[0] < depth:
+        while node.__class__ is list:
+            node = node[1].get(s[node[0]]) or node[2]
+        t = node[0]
+        if s == t:
+            node[1].append(new)
+            return
+        depth = len(s) - ((int.from_bytes(s, "big") ^ int.from_bytes(t, "big")).bit_length() + 7) // 8
+        leaf, parent, node = (s, [new]), None, self.root
+        while node.__class__ is list and node[0] < depth:
             parent, node = node, node[1][s[node[0]]]
-        if not isinstance(node, int) and node[0] == depth:
-            node[1][s[depth]] = new
+        if node.__class__ is list and node[0] == depth:
+            node[1][s[depth]] = leaf
             return
-        branch = [depth, {t[depth]: node, s[depth]: new}]
+        branch = [depth, {t[depth]: node, s[depth]: leaf}, leaf]
         if parent is None:
             self.root = branch
         else:
             parent[1][s[parent[0]]] = branch
 
-    def order(self) -> list[int]:
-        out, stack = [], [self.root]
+    def leaves(self) -> list[list[int]]:
+        """The numbers of the strings, equal ones together, in the strings' order."""
+        out, stack = [], [self.root] if self.root is not None else []
         while stack:
             node = stack.pop()
-            if isinstance(node, int):
-                out.append(node)
-            else:
+            if node.__class__ is list:
                 stack += [node[1][b] for b in sorted(node[1], reverse=True)]
+            else:
+                out.append(node[1])
         return out
 
 
@@ -314,52 +358,47 @@ def deep_shallow(data: np.ndarray, source: np.ndarray, width: int = LENGTH, shal
         d = d[again]
         new[open_[1:][(group[1:] == group[:-1]) & (d[1:] != d[:-1])]] = True
     open_, group = still_open()
-    if open_.size:
-        # equal remainders fold to one string; groups that hold several go through a blind trie
-        sub = order[open_]
-        h = np.zeros(sub.size, _U)
-        for level in range(shallow // 8, -(-width // 8)):
-            h = C.mix(h * _U(0xD6E8FEB86659FD93) + digit(level, sub))
-        again = np.lexsort((h, group))
-        order[open_] = sub[again]
-        h = h[again]
-        apart = (group[1:] == group[:-1]) & (h[1:] != h[:-1])
-        new[open_[1:][apart]] = True
-        bounds = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), group.size)
-        several = np.unique(np.searchsorted(bounds, np.flatnonzero(apart), "right") - 1)
-        for k in several:
-            lo, hi = open_[bounds[k]], open_[bounds[k + 1] - 1] + 1  # a group's places are consecutive
-            cuts = np.append(lo + np.flatnonzero(new[lo:hi]), hi)
-            heads = [data[(p := source[order[c]]) : p + width].tobytes() for c in cuts[:-1]]
-            parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            sequence = BlindTrie(heads).order()
-            sizes = [parts[j].size for j in sequence]
-            order[lo:hi] = np.concatenate([parts[j] for j in sequence])
-            new[lo:hi] = False
-            new[lo + np.cumsum([0, *sizes[:-1]])] = True
+    if open_.size:  # groups with a longer common prefix, each at consecutive places: a blind trie for each
+        raw, at = data.tobytes(), source[order[open_]]
+        bounds = [*np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist(), group.size]
+        moved = order[open_]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            rest = [raw[p + shallow : p + width] for p in at[lo:hi].tolist()]
+            if hi - lo == 2:  # a trie of two strings is one comparison
+                a, b = rest
+                if a != b:
+                    new[open_[lo + 1]] = True
+                    if b < a:
+                        moved[lo], moved[lo + 1] = moved[lo + 1], moved[lo]
+                continue
+            leaves = BlindTrie(rest).leaves()
+            if len(leaves) > 1:
+                moved[lo:hi] = moved[lo:hi][[k for leaf in leaves for k in leaf]]
+                new[open_[lo] + np.cumsum([len(leaf) for leaf in leaves[:-1]])] = True
+        order[open_] = moved
     return order, np.cumsum(new) - 1
 
 
 def _removals(n_shards: int):
-    """Step 3, per bucket of contexts: (shard, docs, begins, ends) of the removal spans."""
+    """Step 3, per bucket of contexts: (shard, docs, numbers, begins, ends) of the removal spans."""
 
     def run(table):
         kind, out = np.asarray(table["kind"]), []
-        cols = {c: table[c].to_pylist() for c in ("shard", "docs", "begins", "ends", "blob")}
+        cols = {c: table[c].to_pylist() for c in ("shard", "docs", "numbers", "begins", "ends", "blob")}
         for k in np.flatnonzero(kind == 1):
-            out.append((cols["shard"][k], cols["docs"][k], cols["begins"][k], cols["ends"][k]))
+            out.append(tuple(cols[c][k] for c in ("shard", "docs", "numbers", "begins", "ends")))
         own = np.flatnonzero(kind == 0)
         if own.size:
-            doc, place = (joined([cols[c][k] for k in own], np.int64) for c in ("docs", "begins"))
+            doc, number, place = (joined([cols[c][k] for k in own], np.int64) for c in ("docs", "numbers", "begins"))
             size = joined([cols["ends"][k] for k in own], np.int16).astype(np.int64)
             data = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(cols["blob"][k]), np.uint8) for k in own])
             begin = np.cumsum(size) - size
             h = C.mix(C.span_hashes(data, begin, begin + size) + size.astype(_U))
-            _, group, count = np.unique(h, return_inverse=True, return_counts=True)
-            least = np.full(count.size, np.iinfo(np.int64).max)
+            group = equal_contexts(data, begin, size, h)
+            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, doc)
             late = doc > least[group]
-            spans = [(doc[late], place[late], place[late] + size[late])]
+            spans = [(doc[late], number[late], place[late], place[late] + size[late])]
             # one of each context goes into the suffix array; the same document may hold it again
             keep = np.flatnonzero(~late)
             n = size[keep] - LENGTH + 1
@@ -378,40 +417,40 @@ def _removals(n_shards: int):
                 head[1:] = (e[1:] != e[:-1]) | (j[1:] != j[:-1] + 1)
                 a = np.flatnonzero(head)
                 b = np.append(a[1:], hit.size) - 1
-                spans.append((doc[keep][e[a]], place[keep][e[a]] + j[a], place[keep][e[a]] + j[b] + LENGTH))
-            d, a, b = (np.concatenate([s[k] for s in spans]) for k in range(3))
+                spans.append((doc[keep][e[a]], number[keep][e[a]], place[keep][e[a]] + j[a], place[keep][e[a]] + j[b] + LENGTH))
+            d, m, a, b = (np.concatenate([s[k] for s in spans]) for k in range(4))
             if d.size:
                 shard = d % n_shards
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
                 for k in np.flatnonzero(np.diff(cut)):
                     i = order[cut[k] : cut[k + 1]]
-                    out.append((int(k), pack(d[i]), pack(a[i]), pack(b[i])))
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), *[pa.array([x[k] for x in out], pa.binary()) for k in (1, 2, 3)]], ["shard", "docs", "begins", "ends"])
+                    out.append((int(k), pack(d[i]), pack(m[i]), pack(a[i]), pack(b[i])))
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), *[pa.array([x[k] for x in out], pa.binary()) for k in (1, 2, 3, 4)]], ["shard", "docs", "numbers", "begins", "ends"])
 
     return run
 
 
 def _cut(texts, replies):
     """Step 4, per shard: (doc_id, n_bytes, spans, kept) of its documents."""
-    spans: dict[int, list[tuple[int, int]]] = {}
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
     if replies.num_rows:
-        d, a, b = (joined(replies[c].to_pylist(), np.int64) for c in ("docs", "begins", "ends"))
-        order = np.lexsort((a, d))
-        d, a, b = d[order], a[order], b[order]
+        d, m, a, b = (joined(replies[c].to_pylist(), np.int64) for c in ("docs", "numbers", "begins", "ends"))
+        order = np.lexsort((a, m, d))
+        d, m, a, b = d[order], m[order], a[order], b[order]
         wide = int(b.max()) + 2
-        number = np.cumsum(np.concatenate(([0], d[1:] != d[:-1])))
-        reach = np.maximum.accumulate(b + number * wide)
+        row = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (m[1:] != m[:-1]))))
+        reach = np.maximum.accumulate(b + row * wide)
         head = np.ones(d.size, bool)
-        head[1:] = (a[1:] + number[1:] * wide) > reach[:-1]
+        head[1:] = (a[1:] + row[1:] * wide) > reach[:-1]
         start = np.flatnonzero(head)
         stop = np.append(start[1:], d.size) - 1
-        for x, s, e in zip(d[start].tolist(), a[start].tolist(), (reach[stop] - number[stop] * wide).tolist(), strict=True):
-            spans.setdefault(x, []).append((s, e))
+        for x, k, s, e in zip(d[start].tolist(), m[start].tolist(), a[start].tolist(), (reach[stop] - row[stop] * wide).tolist(), strict=True):
+            spans.setdefault((x, k), []).append((s, e))
     ids, raw, found, kept = texts["doc_id"].to_pylist(), [], [], []
-    for i, t in zip(ids, texts["text"].to_pylist(), strict=True):
+    for i, k, t in zip(ids, row_numbers(texts).tolist(), texts["text"].to_pylist(), strict=True):
         t = (t or "").encode()
-        own = [(s, min(e, len(t))) for s, e in spans.get(i, []) if s < len(t)]
+        own = spans.get((i, k), [])
         at, parts = 0, []
         for s, e in own:
             parts.append(t[at:s])
@@ -436,14 +475,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = prime(max(docs.sparkSession.sparkContext.defaultParallelism * 2, total // SHARD_BYTES))
+    n_shards = prime(max(docs.sparkSession.sparkContext.defaultParallelism * 2, int(total / SHARD_BYTES / max(1.0, total / ROOT_BYTES) ** 0.5)))
     n_buckets = 2 * n_shards
     ask, answer = _ask(n_buckets, n_shards)
     packed = "docs binary, hashes binary"
     asked = known.mapInArrow(ask, f"bucket long, kind int, shard long, {packed}")
     repeated = asked.groupBy("bucket").applyInArrow(answer, f"shard long, {packed}")
     texts = known.select(F.pmod("doc_id", F.lit(n_shards)).alias("shard"), "doc_id", "text")
-    spans = "docs binary, begins binary, ends binary"
+    spans = "docs binary, numbers binary, begins binary, ends binary"
     contexts = texts.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(_contexts(n_buckets), f"bucket long, kind int, shard long, {spans}, blob binary")
     removed = contexts.groupBy("bucket").applyInArrow(_removals(n_shards), f"shard long, {spans}")
     out = texts.groupBy("shard").cogroup(removed.groupBy("shard")).applyInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")

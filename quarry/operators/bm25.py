@@ -1,11 +1,13 @@
 """BM25: postings and three scorers, as joins and aggregations. Scores are negated: smaller is better.
 
 Queries come as a table (query_id, text), any number at once; each gets at most k hits. Only postings of query terms are
-read on; the query terms are broadcast, as their number is checked (`max_broadcast_terms`), else joined by shuffle."""
+read on: few terms are a filter that reaches the scan, more are broadcast, as their number is checked
+(MAX_BROADCAST_TERMS), and beyond that the join is by shuffle."""
 
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +15,18 @@ from pyspark.sql import functions as F
 from quarry.functions.tokenizers import Tokenizer
 
 MAX_K = 4096
-MAX_BROADCAST_TERMS = 200_000
+MAX_BROADCAST_TERMS, MAX_FILTER_TERMS = 200_000, 200
 #: The full-text engine's own parameters and least inverse document frequency; the floor of the Okapi one.
 FULLTEXT_K1, FULLTEXT_B, FULLTEXT_MIN_IDF = 1.2, 0.75, 1e-6
 OKAPI_EPSILON = 0.25
+#: Letters that the full-text engine folds apart from lower case, and the marks that it drops after a letter.
+FOLDED = {"µ": "μ", "ſ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε"}
+MARKS = "\u0300-\u0304\u0306-\u030c\u030f\u0311\u031b\u0323-\u0328\u032d\u032e\u0330\u0331"
+#: Latin letters with one diacritic, by rule: what decomposes into a letter of A-Z and one mark.
+for _c in map(chr, range(0xC0, 0x2000)):
+    _parts = unicodedata.normalize("NFD", _c.lower())
+    if len(_c.lower()) == 1 and len(_parts) == 2 and _parts[0].isascii() and unicodedata.category(_parts[1]) == "Mn":
+        FOLDED[_c.lower()] = _parts[0]
 
 
 def check_k(k) -> int:
@@ -64,6 +74,16 @@ def stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl"))
 
 
+def phrase_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the terms of several words (joined by spaces): documents that hold the words one after the other, tf times."""
+    words = F.split("term", " ")
+    phrases = terms.select("term").distinct().select("term", words.alias("words"), F.get(words, F.lit(0)).alias("first"))
+    rows = docs.select("chunk_id", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("first")).join(phrases, "first")
+    at = F.sequence(F.lit(1), F.size("tokens") - F.size("words") + 1)
+    tf = F.size(F.filter(at, lambda i: F.slice(F.col("tokens"), i, F.size("words")) == F.col("words"))).cast("long")
+    return rows.where(F.size("tokens") >= F.size("words")).select("term", "chunk_id", tf.alias("tf"), "dl").where("tf > 0")
+
+
 def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """(query_id, term, qtf)."""
     return queries.select("query_id", F.explode(tokenizer.column(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -87,37 +107,49 @@ def _classic_part(idf: Column, k1: float, b: float) -> Column:
     return idf * F.col("qtf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
 
 
-def search(docs: DataFrame, queries: DataFrame, tokenizer: Tokenizer, k: int, method: str = "own", k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None, tie: str = "chunk_id") -> DataFrame:
+def mean_idf(index: DataFrame, n: int) -> float | None:
+    """The mean raw inverse document frequency over all terms of the postings, which the Okapi scorer's floor needs."""
+    return index.groupBy("term").agg(F.count("*").alias("df")).agg(F.avg(_raw_idf(F.lit(float(n)), F.col("df")))).first()[0]
+
+
+def search(docs: DataFrame, queries: DataFrame, tokenizer: Tokenizer, k: int, method: str = "own", k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None, totals: tuple[int, int] | None = None, mean: float | None = None, tie: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score): at most k matching documents per query, smallest score first.
 
-    docs: (chunk_id, dl, tokens); index: stored postings, where there are any. Documents without a query term are no
-    hits. Repeated query terms weigh in proportion. An empty corpus or one without tokens has no hits."""
+    docs: (chunk_id, dl, tokens). What is stored may be passed in place of being counted again: index (postings), totals
+    (documents, tokens) and mean (mean_idf). Documents without a query term are no hits. Repeated query terms weigh in
+    proportion. A term of several words, parted by spaces, is a phrase. Ties go by the id's bytes, or by `ord` of tie
+    (chunk_id, ord). An empty corpus or one without tokens has no hits."""
     check_k(k)
     k1, b = check_params(k1, b, finite=method != "okapi") if method != "fulltext" else (FULLTEXT_K1, FULLTEXT_B)
+    if method not in ("own", "fulltext", "okapi"):
+        raise ValueError(f"no scorer is named {method!r}; there are fulltext, okapi, own")
     terms = query_terms(queries, tokenizer)
-    index = postings(docs) if index is None else index
     wanted = terms.select("term").distinct()
-    small = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    hint = F.broadcast if small else (lambda x: x)
-    whole = stats(docs).select(F.col("n").cast("double").alias("n"), F.try_divide("total_dl", "n").alias("avgdl")).where("avgdl > 0")
-    hits = index.join(hint(wanted), "term", "left_semi")
-    df = (index if method == "okapi" else hits).groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(whole))  # one row of totals
-    n, d = F.col("n"), F.col("df")
+    found = [r["term"] for r in wanted.limit(MAX_BROADCAST_TERMS + 1).collect()]
+    hint = F.broadcast if len(found) <= MAX_BROADCAST_TERMS else (lambda x: x)
+    index = postings(docs) if index is None else index
+    if totals is None:
+        row = stats(docs).first()
+        totals = row["n"], row["total_dl"]
+    n, total = totals
+    if not n or not total or not found:
+        return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, rank int, chunk_id {dict(index.dtypes)['chunk_id']}, score double")
+    hits = index.where(F.col("term").isin(found)) if len(found) <= MAX_FILTER_TERMS else index.join(hint(wanted), "term", "left_semi")
+    if any(" " in t for t in found):
+        hits = hits.unionByName(phrase_hits(docs, terms.where(F.contains("term", F.lit(" ")))).select(*hits.columns))
+    size, d = F.lit(float(n)), F.col("df")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if method == "own":
-        weights = weights.withColumn("idf", _own_idf(n, d))
+        weights = df.withColumn("idf", _own_idf(size, d))
     elif method == "fulltext":
-        weights = weights.withColumn("idf", F.greatest(F.lit(FULLTEXT_MIN_IDF), F.log((n - d + 0.5) / (d + 0.5))))
-    elif method == "okapi":
-        raw = weights.withColumn("idf", _raw_idf(n, d))
-        floor = raw.agg((F.lit(OKAPI_EPSILON) * F.avg("idf")).alias("floor"))
-        weights = raw.crossJoin(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).drop("floor")
+        weights = df.withColumn("idf", F.greatest(F.lit(FULLTEXT_MIN_IDF), _raw_idf(size, d)))
     else:
-        raise ValueError(f"no scorer is named {method!r}; there are fulltext, okapi, own")
-    weighted = terms.join(weights, "term").select("query_id", "term", "qtf", "idf", "avgdl")
+        floor = OKAPI_EPSILON * (mean_idf(index, n) if mean is None else mean)
+        weights = df.withColumn("idf", _raw_idf(size, d)).withColumn("idf", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")))
+    weighted = terms.join(weights, "term").select("query_id", "term", "qtf", "idf", F.lit(total / n).alias("avgdl"))
     part = (_own_part if method == "own" else _classic_part)(F.col("idf"), k1, b)
     scored = hits.join(hint(weighted), "term").groupBy("query_id", "chunk_id").agg((-F.sum(part)).alias("score"))
-    return top(scored, k, tie)
+    return top(scored, k) if tie is None else top(scored.join(tie.select("chunk_id", "ord"), "chunk_id"), k, "ord")
 
 
 def top(scored: DataFrame, k: int, tie: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -129,6 +161,6 @@ def top(scored: DataFrame, k: int, tie: str = "chunk_id", score: str = "score")
 
 
 def fold(text: Column) -> Column:
-    """The full-text analyzer's view of a token: lower case, without diacritics, words of letters and digits only."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_extract_all(plain, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    """The full-text analyzer's view of a token: its words of letters and digits, in lower case and without diacritics."""
+    plain = F.translate(F.lower(text), "".join(FOLDED), "".join(FOLDED.values()))
+    return F.regexp_extract_all(F.regexp_replace(plain, f"(?<=[\\p{{L}}\\p{{N}}])[{MARKS}]+", ""), F.lit("[\\p{L}\\p{N}\\p{Co}]+"), F.lit(0))

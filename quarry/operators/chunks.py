@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pandas as pd
@@ -67,3 +68,25 @@ def keep_first(rows: DataFrame, key: str, order: Column | str) -> DataFrame:
 def provenance(segments: DataFrame) -> DataFrame:
     """(chunk_id, path, start_line, end_line): the least and greatest line per path, from (chunk_id, path, lines)."""
     return segments.groupBy("chunk_id", "path").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+
+
+def sources(segments: Column) -> Column:
+    """The same within one chunk, as an array of (path, start_line, end_line) in the order in which paths first appear."""
+    of = lambda p: F.filter(segments, lambda s: s["file_path"] == p)
+    return F.transform(
+        paths(segments),
+        lambda p: F.struct(p.alias("path"), F.array_min(F.transform(of(p), lambda s: s["start_line"])).alias("start_line"), F.array_max(F.transform(of(p), lambda s: s["end_line"])).alias("end_line")),
+    )
+
+
+def merging(min_token: int, **columns):
+    """Decorator: a function that returns chunks returns them merged."""
+
+    def put(make):
+        @functools.wraps(make)
+        def run(*args, **kwargs) -> DataFrame:
+            return merge_small(make(*args, **kwargs), min_token, **columns)
+
+        return run
+
+    return put

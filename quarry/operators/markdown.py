@@ -241,16 +241,29 @@ def cut(text: str, path: str, max_token: int, overlap: int | None = None, summar
     return out
 
 
-def chunk(docs: DataFrame, max_token: int, overlap: int | None = None, summary: Callable[[str], str] | None = None, start_line: int = 0, end_line: int | None = None, key: str = "path") -> DataFrame:
-    """(key, seq, tokens, segments) of documents (key, text): each is cut on its own, in Arrow batches, without a shuffle."""
-    kind = dict(docs.dtypes)[key]
+def chunk(docs: DataFrame, max_token: int, overlap: int | None = None, summary: Callable[[str], str] | None = None, start_line: int = 0, end_line: int | None = None, key: str = "path", path: str | None = None) -> DataFrame:
+    """(key, seq, tokens, segments) of documents (key, text): each is cut on its own, in Arrow batches, without a shuffle.
+
+    path: the column that segments name as their file, if not the key."""
+    kind, path = dict(docs.dtypes)[key], path or key
 
     def run(frames):
         for f in frames:
-            rows = [(p, n, c["tokens"], c["segments"]) for p, t in zip(f[key], f["text"], strict=True) for n, c in enumerate(cut(t or "", str(p), max_token, overlap, summary, start_line, end_line))]
+            rows = [(p, n, c["tokens"], c["segments"]) for p, x, t in zip(f["k"], f["p"], f["t"], strict=True) for n, c in enumerate(cut(t or "", str(x), max_token, overlap, summary, start_line, end_line))]
             yield pd.DataFrame(rows, columns=[key, "seq", "tokens", "segments"])
 
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, seq long, tokens long, segments array<{SEGMENT}>")
+    return docs.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col("text").alias("t")).mapInPandas(run, f"{key} {kind}, seq long, tokens long, segments array<{SEGMENT}>")
+
+
+def line_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, kind, first, last) of the code, table and text blocks of documents (key, text), by line from 0."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([(k, *b) for k, t in zip(f["k"], f["t"], strict=True) for b in blocks((t or "").split("\n"))], columns=[key, "kind", "first", "last"])
+
+    return docs.select(F.col(key).alias("k"), F.col("text").alias("t")).mapInPandas(run, f"{key} {kind}, kind string, first long, last long")
 
 
 def render_segment(s: dict, with_summary: bool = False) -> str:

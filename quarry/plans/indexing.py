@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,20 @@ class Strategy:
             raise ValueError("at least one of vector and bm25 is needed")
 
 
+def _called(fields_of: Callable[[dict], dict], declared: list[str]):
+    """fields_of as a column function from chunks to maps; a declared field that it leaves out raises KeyError."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in rows.to_dict("records"):
+            given = fields_of(row)
+            out.append({f: given[f] for f in declared})
+        return pd.Series(out)
+
+    return run
+
+
 class Pipeline:
     def __init__(self, store: Store, strategy: Strategy, model: Callable | None = None):
         if strategy.vector is not None and model is None:
@@ -48,9 +63,8 @@ class Pipeline:
     def chunking(self, folders: list[str]) -> DataFrame:
         """Drafts (corpus_id, part, seq, tokens, segments) of all Markdown files below the folders."""
         found = files.markdown(self.store.spark, folders)
-        cut = markdown.chunk(found.select("path", "text"), self.strategy.max_token)
-        order = found.select("path", F.format_string("%05d/%s", "folder_idx", "path").alias("part"))
-        return cut.join(order, "path").select(F.lit(0).alias("corpus_id"), "part", "seq", "tokens", "segments")
+        found = found.select(F.format_string("%05d/%s", "folder_idx", "path").alias("part"), "path", "text")
+        return markdown.chunk(found, self.strategy.max_token, key="part", path="path").select(F.lit(0).alias("corpus_id"), "part", "seq", "tokens", "segments")
 
     def merge(self, drafts: DataFrame) -> DataFrame:
         return chunks.merge_small(drafts, self.strategy.min_token)
@@ -58,18 +72,20 @@ class Pipeline:
     def embedding(self, drafts: DataFrame) -> DataFrame:
         return models.embed(markdown.rendered(drafts), self.model, "text_with_summary").drop("text_with_summary")
 
-    def store_chunks(self, merged: DataFrame, fields_of: dict[str, Column] | None = None) -> None:
+    def store_chunks(self, merged: DataFrame, fields_of: dict[str, Column] | Callable[[dict], dict] | None = None) -> None:
         """Writes all tables in one commit. Of equal chunk ids the first stays. fields_of: a column for each declared
-        field; None stands for nulls in all of them."""
-        declared = {*self.strategy.chunk.fields, *(self.strategy.vector.fields if self.vectors else ())}
-        if fields_of is not None and not declared <= set(fields_of):
-            raise KeyError(f"fields_of lacks {sorted(declared - set(fields_of))}")
-        rows = chunks.keep_first(chunks.identify(merged), "chunk_id", "seq")
-        rows = rows.withColumn("content", render(F.col("segments"))).withColumns({f: (fields_of[f] if fields_of else F.lit(None)).cast("string") for f in declared})
-        lines = rows.select("chunk_id", F.explode("segments").alias("s")).select("chunk_id", F.col("s.file_path").alias("path"), "s.start_line", "s.end_line")
-        sources = chunks.provenance(lines).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("path", "start_line", "end_line"))).alias("sources"))
+        field, or a function from a chunk (a dict) to a dict of texts, run in batches; None stands for nulls in all."""
+        declared = sorted({*self.strategy.chunk.fields, *(self.strategy.vector.fields if self.vectors else ())})
+        if isinstance(fields_of, dict) and not set(declared) <= set(fields_of):
+            raise KeyError(f"fields_of lacks {sorted(set(declared) - set(fields_of))}")
+        rows = chunks.keep_first(chunks.identify(merged), "chunk_id", "seq").withColumn("content", render(F.col("segments")))
+        if callable(fields_of) and declared:
+            rows = rows.withColumn("_fields", _called(fields_of, declared)(F.struct("chunk_id", "content", "segments")))
+            rows = rows.withColumns({f: F.col("_fields")[f] for f in declared}).drop("_fields")
+        else:
+            rows = rows.withColumns({f: (fields_of[f] if fields_of else F.lit(None)).cast("string") for f in declared})
         with self.store.transaction():
-            self.chunks.insert(rows.select("chunk_id", "content", *self.strategy.chunk.fields).join(sources, "chunk_id"))
+            self.chunks.insert(rows.select("chunk_id", "content", chunks.sources(F.col("segments")).alias("sources"), *self.strategy.chunk.fields))
             if self.vectors:
                 self.vectors.insert(rows.select("chunk_id", F.col("embedding").alias("vector"), *self.strategy.vector.fields))
             if self.bm25:
@@ -87,7 +103,13 @@ class Pipeline:
 
     def delete_by_path(self, path: str) -> int:
         """Every chunk that touches the path goes from all tables, in one commit."""
-        ids = self.chunks.ids_by_path(path)
+        return self._delete(self.chunks.ids_by_path(path))
+
+    def delete_by_paths(self, paths: DataFrame) -> int:
+        """The same for all paths of a table (path) at once."""
+        return self._delete(self.chunks.rows().join(paths.select("path"), "path", "left_semi").select("chunk_id").distinct())
+
+    def _delete(self, ids: DataFrame) -> int:
         n = ids.count()
         if n:
             with self.store.transaction():

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions import tokenizers
-from quarry.operators import bm25, chunks, fusion, vectors
+from quarry.operators import bm25, chunks, fusion, markdown, vectors
+from quarry.sources.store import Store
+from quarry.sources.tables import BM25Table, ChunkSchema, ChunkTable
 
 TERMS = 5
 TOKENS = "regexp_extract_all(text, '[\\p{L}\\p{N}]+')"
@@ -18,7 +22,40 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _records(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    rows = _t(spark, sf_dir, "documents").where("doc_id is not null")
+    return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text")).repartition(spark.sparkContext.defaultParallelism)
+
+
+_STORES: dict[tuple, Store] = {}
+
+
+def _store(spark, sf_dir) -> Store:
+    """A store of the session in the shared folder, with the keyword index over `documents`: built once, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        store = Store(spark, f"{base}/quarry-index-{uuid.uuid4().hex}")
+        with store.transaction():
+            table = BM25Table(store, "unicode_word", name="bm25")
+            table.open()
+            table.insert(_records(spark, sf_dir))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def _table(spark, sf_dir, name: str = "bm25") -> BM25Table:
+    """The index, or a clone of it under a name of its own."""
+    store = _store(spark, sf_dir)
+    if name != "bm25":
+        with store.transaction():
+            store.clone("bm25_docs", f"{name}_docs")
+            store.clone("bm25_postings", f"{name}_postings")
+    return BM25Table(store, "unicode_word", name=name)
+
+
+def _toxic(spark, sf_dir):
+    """The ids of the documents that `labels` calls toxic: the rows that deletions and replacements act on."""
+    return _t(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("chunk_id")).distinct()
 
 
 def _docs(spark, sf_dir):
@@ -26,8 +63,8 @@ def _docs(spark, sf_dir):
 
 
 def _queries(spark, sf_dir):
-    """Each benchmark item's first line is a query."""
-    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", "\n")[0].alias("text"))
+    """Each benchmark item is a query, with its whole text."""
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _vectors(spark, sf_dir):
@@ -119,6 +156,11 @@ def postings(spark, sf_dir):
     return bm25.postings(_docs(spark, sf_dir))
 
 
+@query(f"WITH {_DOCS} SELECT chunk_id, dl FROM docs")
+def doc_lengths(spark, sf_dir):
+    return _docs(spark, sf_dir).select("chunk_id", "dl")
+
+
 @query(f"WITH {_DOCS} SELECT count(*) AS n, sum(dl)::BIGINT AS total_dl FROM docs")
 def corpus_stats(spark, sf_dir):
     return bm25.stats(_docs(spark, sf_dir))
@@ -129,12 +171,20 @@ def doc_freq(spark, sf_dir):
     return bm25.postings(_docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _search(spark, sf_dir, **args):
-    return _rounded(bm25.search(_docs(spark, sf_dir), _queries(spark, sf_dir), tokenizers.create("unicode_word"), 10, **args), "score")
+def _ranked(table: BM25Table, queries, k: int = 10, method: str = "own", **args):
+    """A search of the stored index by any scorer."""
+    state = table.store.state()
+    docs, index = (table.store.read(f"{table.name}_{t}", state) for t in ("docs", "postings"))
+    meta = state[f"{table.name}_docs"]["meta"]
+    return bm25.search(docs, queries, table.tokenizer, k, method, index=index, totals=(meta["n"], meta["total_dl"]), **args)
+
+
+def _search(spark, sf_dir, table: str = "bm25", **args):
+    return _rounded(_ranked(_table(spark, sf_dir, table), _queries(spark, sf_dir), **args), "score")
 
 
 def _bm25_sql(idf: str, part: str, docs: str = _DOCS, floor: str = "") -> str:
-    return f"""WITH {docs}, q AS (SELECT query_id, t AS term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(string_split(text, chr(10))[1], '[\\p{{L}}\\p{{N}}]+')) AS t FROM benchmark) GROUP BY ALL),
+    return f"""WITH {docs}, q AS (SELECT query_id, t AS term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS t FROM benchmark) GROUP BY ALL),
 s AS (SELECT count(*)::DOUBLE AS n, sum(dl) / count(*)::DOUBLE AS avgdl FROM docs), f AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 w0 AS (SELECT term, {idf} AS idf FROM f, s), w AS ({floor or 'SELECT * FROM w0'}),
 r AS (SELECT query_id, chunk_id, -sum({part}) AS score FROM post JOIN q USING (term) JOIN w USING (term), s GROUP BY query_id, chunk_id)
@@ -178,13 +228,24 @@ def bm25_tuned(spark, sf_dir):
     return _search(spark, sf_dir, k1=2.0, b=0.3)
 
 
-@query(_bm25_sql(_OWN_IDF, _own(1.5, 0.75), _DOCS.replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0)")))
+_GONE = "doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+@query(_bm25_sql(_OWN_IDF, _own(1.5, 0.75), _DOCS.replace("FROM documents)", f"FROM documents WHERE NOT {_GONE})")))
 def bm25_after_delete(spark, sf_dir):
-    """Search after every seventh document was deleted: postings and totals follow."""
-    docs = _docs(spark, sf_dir)
-    gone = _t(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("chunk_id"))
-    left = docs.join(gone, "chunk_id", "left_anti")
-    return _rounded(bm25.search(left, _queries(spark, sf_dir), tokenizers.create("unicode_word"), 10), "score")
+    """Search after the toxic documents were deleted from a clone of the index: postings and totals follow."""
+    table = _table(spark, sf_dir, "after_delete")
+    table.delete(_toxic(spark, sf_dir))
+    return _rounded(_ranked(table, _queries(spark, sf_dir)), "score")
+
+
+@query(_bm25_sql(_OWN_IDF, _own(1.5, 0.75), _DOCS.replace("FROM documents)", f"FROM (SELECT doc_id, CASE WHEN {_GONE} THEN 'replaced by ' || source ELSE text END AS text FROM documents))")))
+def bm25_replace(spark, sf_dir):
+    """Search after the toxic documents were replaced by a short text in a clone of the index."""
+    table = _table(spark, sf_dir, "replaced")
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("replaced by "), "source").alias("text"))
+    table.replace(rows.join(_toxic(spark, sf_dir), "chunk_id", "left_semi"))
+    return _rounded(_ranked(table, _queries(spark, sf_dir)), "score")
 
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
@@ -199,22 +260,24 @@ def vec_normalize(spark, sf_dir):
 
 def _knn_sql(distance: str, where: str = "true", k: int = 10) -> str:
     return f"""WITH u AS ({_UNIT}), r AS (SELECT q.vec_id AS query_id, d.vec_id::VARCHAR AS chunk_id, {distance} AS distance FROM u d, u q WHERE q.vec_id % 100 = 0 AND {where})
-SELECT query_id, rank::INT AS rank, round(distance, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM r) WHERE rank <= {k}"""
+SELECT query_id, rank::INT AS rank, chunk_id, round(abs(distance), 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM r) WHERE rank <= {k}"""
 
 
 _DOT = "list_sum(list_transform(list_zip(d.u, q.u), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 _L2 = "sqrt(list_sum(list_transform(list_zip(d.u, q.u), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))))"
 
 
+def _shown(found):
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", F.round(F.abs("distance"), 4).alias("distance"))
+
+
 def _knn(spark, sf_dir, **args):
-    got = vectors.knn(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10, filterable=("label",), **args)
-    return got.select("query_id", F.col("rank").cast("int").alias("rank"), (F.round("distance", 4) + 0.0).alias("distance"))
+    return _shown(vectors.knn(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10, filterable=("label",), **args))
 
 
-@query(_knn_sql(f"abs(1 - {_DOT})"))
+@query(_knn_sql(f"1 - {_DOT}"))
 def knn_cosine(spark, sf_dir):
-    got = vectors.knn(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10)
-    return got.select("query_id", F.col("rank").cast("int").alias("rank"), F.round(F.abs("distance"), 4).alias("distance"))
+    return _knn(spark, sf_dir)
 
 
 @query(_knn_sql(_L2))
@@ -232,8 +295,7 @@ def knn_filtered(spark, sf_dir):
 def knn_semijoin(spark, sf_dir):
     """Nearest neighbours among the chunks of one path only."""
     ids = _t(spark, sf_dir, "conversations").where("role = 'system'").select(F.col("conv_id").cast("string").alias("chunk_id")).distinct()
-    got = vectors.knn(_vectors(spark, sf_dir).join(ids, "chunk_id", "left_semi"), _vector_queries(spark, sf_dir), 10, metric="L2")
-    return got.select("query_id", F.col("rank").cast("int").alias("rank"), F.round("distance", 4).alias("distance"))
+    return _shown(vectors.knn(_vectors(spark, sf_dir).join(ids, "chunk_id", "left_semi"), _vector_queries(spark, sf_dir), 10, metric="L2"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id::VARCHAR >= '18' AND event_type <= 'p'")
@@ -255,14 +317,18 @@ def delete_by_path(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, coarse: int):
-    """Two keyword retrievers as ranked lists, 0 and 1."""
-    docs, asked, words = _docs(spark, sf_dir), _queries(spark, sf_dir), tokenizers.create("unicode_word")
-    one = bm25.search(docs, asked, words, coarse).select("query_id", F.lit(0).alias("retriever_idx"), "rank", "chunk_id")
-    two = bm25.search(docs, asked, words, coarse, method="fulltext").select("query_id", F.lit(1).alias("retriever_idx"), "rank", "chunk_id")
-    return one.unionByName(two)
+    """Two keyword retrievers and a vector retriever as ranked lists, 0 to 2. An item's vector is that of its id."""
+    asked, table = _queries(spark, sf_dir), _table(spark, sf_dir)
+    one = _ranked(table, asked, coarse).select("query_id", F.lit(0).alias("retriever_idx"), "rank", "chunk_id")
+    two = _ranked(table, asked, coarse, "fulltext").select("query_id", F.lit(1).alias("retriever_idx"), "rank", "chunk_id")
+    asked = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(asked.select("query_id"), "query_id", "left_semi")
+    three = vectors.knn(_vectors(spark, sf_dir), asked, coarse).select("query_id", F.lit(2).alias("retriever_idx"), "rank", "chunk_id")
+    return one.unionByName(two).unionByName(three)
 
 
-_LISTS = f"WITH a AS ({_bm25_sql(_OWN_IDF, _own(1.5, 0.75))}), b AS ({_bm25_sql(f'greatest(1e-6, {_RAW})', _classic(1.2, 0.75))}), h AS (SELECT query_id, 0 AS i, rank, chunk_id FROM a UNION ALL SELECT query_id, 1, rank, chunk_id FROM b), f AS (SELECT query_id, chunk_id, sum(1e0 / (60 + rank)) AS score, min(i * 100000 + rank) AS first FROM h GROUP BY ALL), o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank, chunk_id, score FROM f)"
+_NEAR = f"""WITH u AS ({_UNIT}), r AS (SELECT q.vec_id AS query_id, d.vec_id::VARCHAR AS chunk_id, 1 - {_DOT} AS distance FROM u d, u q WHERE q.vec_id IN (SELECT item_id FROM benchmark))
+SELECT query_id, rank, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM r) WHERE rank <= 10"""
+_LISTS = f"WITH a AS ({_bm25_sql(_OWN_IDF, _own(1.5, 0.75))}), b AS ({_bm25_sql(f'greatest(1e-6, {_RAW})', _classic(1.2, 0.75))}), v AS ({_NEAR}), h AS (SELECT query_id, 0 AS i, rank, chunk_id FROM a UNION ALL SELECT query_id, 1, rank, chunk_id FROM b UNION ALL SELECT query_id, 2, rank, chunk_id FROM v), f AS (SELECT query_id, chunk_id, sum(1e0 / (60 + rank)) AS score, min(i * 100000 + rank) AS first FROM h GROUP BY ALL), o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank, chunk_id, score FROM f)"
 
 
 @query(f"{_LISTS} SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM o")
@@ -271,23 +337,66 @@ def rrf_fuse(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    """Documents as a content table; every eleventh has no content."""
-    return _t(spark, sf_dir, "documents").where("doc_id % 11 <> 0").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("path"), F.lit(0).alias("start_line"), F.col("n_chars").alias("end_line"), F.col("text").alias("content"))
+    """Documents as a content table."""
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("path"), F.lit(0).alias("start_line"), F.col("n_chars").alias("end_line"), F.col("text").alias("content"))
 
 
-@query(f"{_LISTS} SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score, md5(text) AS content_md5, source AS path FROM o JOIN documents d ON d.doc_id::VARCHAR = chunk_id WHERE rank <= 5 AND d.doc_id % 11 <> 0")
-def hybrid_search(spark, sf_dir):
-    """Recall by two retrievers, fusion, the best five, content; what has no content is dropped, not made up for."""
-    got = fusion.with_content(fusion.rrf(_hits(spark, sf_dir, 10)), _stored(spark, sf_dir), 5)
+def _found(spark, sf_dir, content):
+    got = fusion.with_content(fusion.rrf(_hits(spark, sf_dir, 10)), content, 5)
     return _rounded(got, "score").select("query_id", "rank", "chunk_id", "score", F.md5("content").alias("content_md5"), F.col("sources")[0]["path"].alias("path"))
 
 
+_FOUND = f"{_LISTS} SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score, md5(text) AS content_md5, source AS path FROM o JOIN documents d ON d.doc_id::VARCHAR = chunk_id WHERE rank <= 5"
+
+
+@query(_FOUND)
+def hybrid_search(spark, sf_dir):
+    """Recall by three retrievers, fusion, the best five, content."""
+    return _found(spark, sf_dir, _stored(spark, sf_dir))
+
+
+@query(f"{_FOUND} AND NOT {_GONE}")
+def missing_content_dropped(spark, sf_dir):
+    """The same where toxic documents have no content: what has none is dropped, not made up for."""
+    return _found(spark, sf_dir, _stored(spark, sf_dir).join(_toxic(spark, sf_dir), "chunk_id", "left_anti"))
+
+
 @query(f"{_LISTS} SELECT query_id, count(*) AS n FROM o WHERE rank <= 50 GROUP BY query_id")
 def coarse_lt_k(spark, sf_dir):
     """With fewer candidates than k there are fewer results than k."""
     return fusion.rrf(_hits(spark, sf_dir, 10)).where("rank <= 50").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT conv_id::VARCHAR AS chunk_id, role AS path, min(turn)::INT AS start_line, max(turn)::INT AS end_line, 'conversation ' || conv_id AS content FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations) GROUP BY ALL")
+def chunk_get(spark, sf_dir):
+    """All sources of one chunk, from a chunk table that holds every conversation (a path for each role)."""
+    rows = _t(spark, sf_dir, "conversations").where("conv_id is not null and role is not null")
+    places = rows.groupBy("conv_id", "role").agg(F.min("turn").cast("int").alias("a"), F.max("turn").cast("int").alias("b"))
+    records = places.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("role").alias("path"), F.col("a").alias("start_line"), F.col("b").alias("end_line"))).alias("sources"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    table = ChunkTable(Store(spark, f"{base}/quarry-chunks-{uuid.uuid4().hex}"))
+    table.create_table(ChunkSchema())
+    table.insert(records.select(F.col("conv_id").cast("string").alias("chunk_id"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("content"), "sources"))
+    first = rows.agg(F.min("conv_id").cast("string").alias("id")).first()["id"]
+    return table.get(first).select("chunk_id", "path", "start_line", "end_line", "content")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+b AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l WHERE regexp_matches(line, '\S'))
+SELECT doc_id, 'text' AS kind, min(i)::BIGINT AS first, max(i)::BIGINT AS last FROM b GROUP BY doc_id, g""")
+def line_blocks(spark, sf_dir):
+    """Blocks of lines; `documents` hold neither code fences nor tables, so all are text."""
+    return markdown.line_blocks(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def markdown_chunks(spark, sf_dir):
+    """The cutter over documents made Markdown by `marked`; tests compare it with the cutter's rules."""
+    cut = markdown.chunk(marked(spark, sf_dir), 256, key="doc_id")
+    segment = lambda name: F.col("segments")[0][name]
+    return cut.select("doc_id", "seq", "tokens", F.size("segments").alias("n_segments"), segment("pref").alias("breadcrumb"), segment("start_line").alias("start_line"), F.element_at("segments", -1)["end_line"].alias("end_line"), F.md5(T.render(F.col("segments"))).alias("content_md5"))
+
+
 @query("SELECT doc_id, md5(source || chr(1) || md5(text)) AS chunk_id, md5(text) AS content_hash FROM documents")
 def chunk_identity_md5(spark, sf_dir):
     """Content-addressed ids with md5 in place of the 128-bit default, so that SQL can follow."""

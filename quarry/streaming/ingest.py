@@ -17,8 +17,7 @@ def ingest(stream: DataFrame, pipeline: Pipeline, checkpoint: str, **trigger):
     def apply(batch: DataFrame, _: int) -> None:
         batch = batch.select("path", "text")
         with pipeline.store.transaction():
-            for row in batch.select("path").distinct().toLocalIterator():
-                pipeline.delete_by_path(row["path"])
+            pipeline.delete_by_paths(batch)
             drafts = markdown.chunk(batch, pipeline.strategy.max_token)
             merged = pipeline.merge(drafts.select(F.lit(0).alias("corpus_id"), F.col("path").alias("part"), "seq", "tokens", "segments"))
             pipeline.store_chunks(pipeline.embedding(merged) if pipeline.vectors else merged)

@@ -381,7 +381,7 @@ def chunk_get(spark, sf_dir):
     return table.get(first).select("chunk_id", "path", "start_line", "end_line", "content")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 b AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l WHERE regexp_matches(line, '\S'))
 SELECT doc_id, 'text' AS kind, min(i)::BIGINT AS first, max(i)::BIGINT AS last FROM b GROUP BY doc_id, g""")
 def line_blocks(spark, sf_dir):

@@ -3,14 +3,20 @@
 Each shard (a bounded block of whole documents) is cut into words; a word outside the benchmark's vocabulary can be
 in no window and acts as a separator, so the index alphabet is the benchmark vocabulary. Runs shorter than the
 shortest window are left out of the index (they hold no occurrence). The index is a suffix array (prefix doubling),
-its Burrows-Wheeler string in a wavelet matrix, and sampled suffix positions. Every window is searched backwards, its
-rows are located by LF steps to a sampled position, and the covered words are merged into removal spans.
-
-Defined cases: null or word-less text has no words and no hits; a null or word-less item has no window; repeated items
-keep their own ids; an item of fewer than `window` words is one window; ties cannot arise. Only `doc_id` and `text`
-are read, so other columns may carry any name. There is no shuffle: a shard needs nothing but the benchmark, which is
-sent to the executors and whose size is checked (`max_benchmark_bytes`); a larger one is refused, never cut.
-Words are compared by 64-bit hashes.
+its Burrows-Wheeler string in a wavelet matrix, and sampled suffix positions. Windows are looked up by their rarest word,
+and those whose words the shard holds are searched backwards; their rows are located by LF steps to a sampled position, and the
+covered words are merged into removal spans.
+
+There is no shuffle: a shard needs nothing but the benchmark's windows, which are sent to the executors. Their size is
+summed first: up to `max_benchmark_bytes` of text is one block of items, more is as many blocks (items dealt by the hash
+of their id), each searched in a pass of its own over the documents, whose hits are merged. So any benchmark is searched
+whole, and the driver holds one block at a time.
+
+Defined cases: null or word-less text has no words and no hits; a null or word-less item, or one without id, has no window; an
+empty benchmark hits nothing and empty documents give an empty result; repeated items count once for each item_id; repeated
+rows are each scanned on their own; an item of fewer than `window` words is one window; windows of several items (ties) name all of
+them; very long texts are shards of their own and taken whole. Only `doc_id` and `text` are read, so other columns may
+carry any name. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -56,6 +62,18 @@ class Windows:
         self.item_off = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int64)
         self.item_of = np.array([i for x in lists for i in x], np.int64)
         self.shortest = int(self.length.min()) if keys else 0
+        often = np.bincount(self.symbols[self.symbols > 0], minlength=self.vocab.size + 1)
+        used = np.arange(window)[None, :] < self.length[:, None]
+        rarest = np.take_along_axis(self.symbols, np.where(used, often[self.symbols], np.iinfo(np.int64).max).argmin(axis=1)[:, None], axis=1)[:, 0] if keys else np.zeros(0, np.int64)
+        self.by_rarest = np.argsort(rarest, kind="stable")  # windows by the word that the fewest windows hold
+        self.rarest_off = np.searchsorted(rarest[self.by_rarest], np.arange(self.vocab.size + 2))
+
+    def possible(self, present: np.ndarray) -> np.ndarray:
+        """The windows all of whose words are present; present: a flag for each vocabulary id + 1."""
+        words = np.flatnonzero(present[1:]) + 1
+        lo, n = self.rarest_off[words], self.rarest_off[words + 1] - self.rarest_off[words]
+        own = self.by_rarest[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return np.sort(own[(present | (np.arange(present.size) == 0))[self.symbols[own]].all(axis=1)])
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -172,10 +190,19 @@ def shard_hits(ids: np.ndarray, doc_first: np.ndarray, w: Windows) -> tuple[np.n
     symbols[target] = ids[source]
     origin = np.zeros(symbols.size, np.int64)
     origin[target] = source
+    present = np.zeros(w.vocab.size + 1, bool)
+    present[symbols] = True
+    present[0] = False
+    able = w.possible(present)
+    if not able.size:
+        return none, none, none
     fm = FMIndex(symbols, int(w.vocab.size))
-    low, high = fm.search(w.symbols, w.length)
+    low, high = np.zeros(w.length.size, np.int64), np.zeros(w.length.size, np.int64)
+    low[able], high[able] = fm.search(w.symbols[able], w.length[able])
     count = high - low
     hit = np.flatnonzero(count)
+    if not hit.size:
+        return none, none, none
     words, windows = [], []
     for part in np.array_split(hit, max(1, int(count.sum() // 2_000_000) + 1)):
         n = count[part]
@@ -186,79 +213,131 @@ def shard_hits(ids: np.ndarray, doc_first: np.ndarray, w: Windows) -> tuple[np.n
     return at, which, w.length[which]
 
 
+class Scan:
+    """What a block of documents holds of one or more blocks of windows."""
+
+    def __init__(self, col: pa.Array):
+        data, self.off = C.text_bytes(col)
+        data = C.LOWER[data]
+        self.starts, self.ends = C.word_bounds(data, self.off, C.ALNUM)
+        self.doc_first = np.searchsorted(self.starts, self.off)
+        self.n_words = np.diff(self.doc_first)
+        self.hashes = C.span_hashes(data, self.starts, self.ends)
+        self.depth = np.zeros(self.starts.size + 1, np.int64)
+        self.items: dict[int, list[str]] = {}
+
+    def add(self, w: Windows) -> None:
+        """Searches the windows of w."""
+        if not (w.vocab.size and self.starts.size):
+            return
+        at = np.minimum(np.searchsorted(w.vocab, self.hashes), w.vocab.size - 1)
+        first, which, length = shard_hits(np.where(w.vocab[at] == self.hashes, at + 1, 0), self.doc_first, w)
+        if not first.size:
+            return
+        np.add.at(self.depth, first, 1)
+        np.add.at(self.depth, first + length, -1)
+        pairs = np.unique((np.searchsorted(self.doc_first, first, "right") - 1) * w.length.size + which)
+        doc, win = pairs // w.length.size, pairs % w.length.size
+        n = w.item_off[win + 1] - w.item_off[win]
+        item = w.item_of[np.repeat(w.item_off[win] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        for x in np.unique(np.repeat(doc, n) * len(w.names) + item).tolist():
+            self.items.setdefault(x // len(w.names), []).append(w.names[x % len(w.names)])
+
+    def cover(self, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Marks the words of byte spans found before."""
+        np.add.at(self.depth, np.searchsorted(self.starts, self.off[doc] + begin), 1)
+        np.add.at(self.depth, np.searchsorted(self.starts, self.off[doc] + end), -1)
+
+    def hits(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(hit words of each document, merged spans as (document, first byte, end byte))."""
+        covered = np.cumsum(self.depth[:-1]) > 0
+        total = np.concatenate(([0], np.cumsum(covered)))
+        edge = np.zeros(covered.size + 1, bool)
+        edge[self.doc_first] = True
+        new = covered & (np.concatenate(([True], ~covered[:-1])) | edge[:-1]) if covered.size else covered
+        end = covered & (np.concatenate((~covered[1:], [True])) | edge[1:]) if covered.size else covered
+        a, b = np.flatnonzero(new), np.flatnonzero(end)
+        doc = np.searchsorted(self.doc_first, a, "right") - 1
+        return total[self.doc_first[1:]] - total[self.doc_first[:-1]], (doc, self.starts[a] - self.off[doc], self.ends[b] - self.off[doc])
+
+
 def scan(col: pa.Array, w: Windows):
     """Per document of a shard: words, hits, items; and the merged spans as (document, first byte, end byte)."""
-    data, off = C.text_bytes(col)
-    data = C.LOWER[data]
-    starts, ends = C.word_bounds(data, off, C.ALNUM)
-    doc_first = np.searchsorted(starts, off)
-    if w.vocab.size and starts.size:
-        h = C.span_hashes(data, starts, ends)
-        at = np.minimum(np.searchsorted(w.vocab, h), w.vocab.size - 1)
-        ids = np.where(w.vocab[at] == h, at + 1, 0)
-    else:
-        ids = np.zeros(starts.size, np.int64)
-    first, which, length = shard_hits(ids, doc_first, w)
-    depth = np.zeros(starts.size + 1, np.int64)
-    np.add.at(depth, first, 1)
-    np.add.at(depth, first + length, -1)
-    covered = np.cumsum(depth[:-1]) > 0
-    total = np.concatenate(([0], np.cumsum(covered)))
-    n_hit = total[doc_first[1:]] - total[doc_first[:-1]]
-    doc_of = np.searchsorted(doc_first, first, "right") - 1
-    pairs = np.unique(doc_of * max(1, w.length.size) + which)
-    doc, win = pairs // max(1, w.length.size), pairs % max(1, w.length.size)
-    n = w.item_off[win + 1] - w.item_off[win] if win.size else np.zeros(0, np.int64)
-    item = w.item_of[np.repeat(w.item_off[win], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] if win.size else n
-    items = np.unique(np.repeat(doc, n) * max(1, len(w.names)) + item)
-    items_by_doc: dict[int, list[str]] = {}
-    for x in items.tolist():
-        items_by_doc.setdefault(x // len(w.names), []).append(w.names[x % len(w.names)])
-    edge = np.zeros(starts.size + 1, bool)
-    edge[doc_first] = True
-    new = covered & (np.concatenate(([True], ~covered[:-1])) | edge[:-1]) if covered.size else covered
-    end = covered & (np.concatenate((~covered[1:], [True])) | edge[1:]) if covered.size else covered
-    a, b = np.flatnonzero(new), np.flatnonzero(end)
-    span_doc = np.searchsorted(doc_first, a, "right") - 1
-    spans = (span_doc, starts[a] - off[span_doc], ends[b] - off[span_doc])
-    return np.diff(doc_first), n_hit, items_by_doc, spans
+    found = Scan(col)
+    found.add(w)
+    n_hit, spans = found.hits()
+    return found.n_words, n_hit, found.items, spans
+
+
+MAX_BENCHMARK_BYTES = 64 << 20  # of benchmark text in one block
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def windows_of(benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = 64 << 20) -> Windows:
-    """The benchmark's windows on the driver. Raises ValueError beyond max_benchmark_bytes (its size is summed first)."""
+def windows_of(benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES):
+    """The benchmark's windows, block by block (one at least)."""
     from pyspark.sql import functions as F
 
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    if size > max_benchmark_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; max_benchmark_bytes is {max_benchmark_bytes}")
-    rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("i"), "text").collect()
-    return Windows(sorted((r["i"], r["text"].encode()) for r in rows), window)
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("i"), "text")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = 1 if size <= max_benchmark_bytes else -(-2 * size // max_benchmark_bytes)
+    for k in range(n):
+        own = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        yield Windows(sorted((r["i"], r["text"].encode()) for r in own.collect()), window)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """One row per document: counts, the items found (list and digest) and the merged removal spans in bytes."""
-    w = windows_of(benchmark, window, max_benchmark_bytes)
+    from pyspark.sql import functions as F
 
-    def run(batches):
-        for block in C.blocks(batches):
-            n_words, n_hit, items, (doc, a, b) = scan(block.column(1), w)
-            names = [items.get(k, []) for k in range(block.num_rows)]
-            cut = np.searchsorted(doc, np.arange(block.num_rows + 1))
-            spans = [[{"begin": int(x), "end": int(y)} for x, y in zip(a[s:e], b[s:e], strict=True)] for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(n_words), pa.array(n_hit), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+    def passing(w: Windows, last: bool):
+        def run(batches):
+            for block in C.blocks(batches):
+                found = Scan(block.column(1))
+                before, spans = block.column(2).to_pylist(), block.column(3).to_pylist()
+                at = [(k, s["begin"], s["end"]) for k, own in enumerate(spans) for s in own]
+                if at:
+                    found.cover(*np.array(at, np.int64).T)
+                found.add(w)
+                n_hit, (doc, a, b) = found.hits()
+                names = [sorted({*before[k], *found.items.get(k, [])}) for k in range(block.num_rows)]
+                cut = np.searchsorted(doc, np.arange(block.num_rows + 1))
+                spans = [[{"begin": int(x), "end": int(y)} for x, y in zip(a[s:e], b[s:e], strict=True)] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                text = pa.nulls(block.num_rows, pa.string()) if last else block.column(1)
+                yield pa.RecordBatch.from_arrays([block.column(0), text, pa.array(names, pa.list_(pa.string())), pa.array(spans, SPANS), pa.array(found.n_words), pa.array(n_hit)], ["doc_id", "text", "items", "spans", "n_words", "n_hit"])
+
+        return run
+
+    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<begin:long,end:long>>").alias("spans"))
+    blocks = windows_of(benchmark, window, max_benchmark_bytes)
+    w = next(blocks)
+    while w is not None:
+        then = next(blocks, None)
+        out = out.select("doc_id", "text", "items", "spans").mapInArrow(passing(w, then is None), "doc_id long, text string, items array<string>, spans array<struct<begin:long,end:long>>, n_words long, n_hit long")
+        out, w = out if then is None else C.cut(out), then
+    return out.select("doc_id", "n_words", "n_hit", "items", "spans")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """The same rows with every hit word span cut out of `text` (a line break stands for it), again until none is left.
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>")
+    Documents without a hit pass unchanged, and n_chars, where present, is brought up to date for those that change.
+    All other columns pass as they are. Of a benchmark of several blocks, each is cut out in turn, until a round over all of
+    them finds nothing (a line break ends no window, so a cut can bring words of another block's window together)."""
+    import pyarrow.compute  # noqa: F401
 
+    blocks = windows_of(benchmark, window, max_benchmark_bytes)
+    out, w, then = docs, next(blocks), next(blocks, None)
+    if then is None:
+        return _cut_out(out, w)
+    while True:
+        for w in windows_of(benchmark, window, max_benchmark_bytes):
+            out = C.cut(_cut_out(out, w))
+        if not decontaminate(out, benchmark, window, max_benchmark_bytes).where("n_hit > 0").take(1):
+            return out
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
-    """The same rows with every hit word span cut out of `text` (a line break stands for it), again until none is left.
 
-    Documents without a hit pass unchanged, and n_chars, where present, is brought up to date for those that change.
-    All other columns pass as they are."""
-    w = windows_of(benchmark, window, max_benchmark_bytes)
+def _cut_out(docs: DataFrame, w: Windows) -> DataFrame:
+    """remove_spans for one block of windows."""
     names = docs.columns
 
     def run(batches):
@@ -290,8 +369,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
                 block = pa.RecordBatch.from_arrays(cols, schema=block.schema)
             yield block
 
-    import pyarrow.compute  # noqa: F401
-
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -8,9 +8,11 @@ Spark's own random forest over labelled findings and then written out as one SQL
 scoring is part of the scan: no join, no shuffle of texts, no Python on the executors. Labelled findings may be passed
 in; without them a labelled set is generated from the formats of common keys and of common look-alikes.
 
-Defined cases: null and empty texts have no candidates; a null source counts as an empty path; candidates never overlap;
-repeated rows are scanned each on its own; an empty table gives no findings. Internal columns have their own prefix, and
-`redact` passes all columns of its input, whatever their names.
+Defined cases: null and empty texts have no candidates; a null source counts as an empty path; candidates never overlap; of
+forms that begin at one place (ties) the first in the order above is taken; a score of exactly 0.5 is a secret; texts and candidates of
+any length are taken whole; repeated rows are scanned each on its own; an empty table gives no findings, and without
+findings to learn from `train` raises Spark's error. Only doc_id, text and source are read by `scan`; `redact` passes all
+columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,22 @@ REDACTED = "[SECRET]"
 KEY_WORDS = r"(passwo?r?d|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential)s?[^a-z]{0,6}$"
 LOOKALIKE_WORDS = r"example|sample|dummy|placeholder|your[_\-]|x{6}|changeme|uuid|commit|checksum|sha1|sha256|md5|card|phone|order|invoice"
 KEY_PREFIX = r"^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[abprs]-|AIza|glpat-)"
-DICTIONARY = ("test", "case", "name", "user", "file", "path", "local", "site", "page", "index", "table", "column", "value", "number", "type", "data", "model", "version", "python", "package", "config", "server", "client", "class", "method", "string", "build", "module", "image", "node", "item", "list", "object", "function", "error", "message", "date", "time", "usr", "lib", "bin", "http", "www", "the", "and", "ing", "tion")
+DICTIONARY = (
+    "about", "access", "account", "action", "active", "after", "all", "and", "answer", "app", "array", "back", "base", "before", "begin",
+    "bin", "block", "board", "book", "box", "build", "button", "byte", "call", "case", "change", "char", "check", "city", "class",
+    "client", "close", "code", "color", "column", "config", "content", "copy", "count", "create", "data", "date", "day", "default", "delete",
+    "device", "dir", "docs", "down", "draft", "edit", "end", "entry", "error", "event", "example", "export", "field", "file", "filter",
+    "find", "first", "flag", "folder", "font", "for", "form", "from", "function", "general", "get", "good", "group", "hand", "handle",
+    "head", "height", "help", "home", "host", "house", "http", "image", "import", "index", "info", "ing", "input", "item", "job",
+    "label", "language", "last", "layer", "left", "length", "level", "lib", "light", "line", "link", "list", "load", "local", "lock",
+    "log", "long", "main", "make", "manager", "map", "mark", "max", "member", "message", "method", "min", "model", "module", "name",
+    "new", "next", "node", "note", "number", "object", "open", "option", "order", "output", "package", "page", "panel", "part", "path",
+    "place", "point", "power", "print", "process", "product", "project", "public", "python", "query", "read", "record", "report", "request", "result",
+    "right", "root", "rule", "run", "save", "search", "send", "server", "service", "set", "short", "side", "site", "size", "some",
+    "sort", "source", "start", "state", "status", "string", "system", "table", "tag", "target", "task", "test", "text", "the", "time",
+    "tion", "title", "tree", "type", "under", "update", "user", "usr", "value", "version", "view", "water", "web", "width", "with",
+    "word", "work", "world", "write", "www",
+)
 FEATURES = ("length", "digits", "upper", "lower", "symbols", "distinct", "runs", "hexadecimal", "dictionary", "prefix", "key_word", "assigned", "quoted", "lookalike", "test_path", "marks", "code", "pem", "vowels")
 
 
@@ -67,8 +84,10 @@ def features(c: Column, left: Column, right: Column, path: Column) -> dict[str,
     }
 
 
-def generated_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Labelled findings (candidate, left, right, path, label), drawn by hash from a row number: the same every time."""
+def generated_findings(spark: SparkSession, n: int = FINDINGS, start: int = 0) -> DataFrame:
+    """Labelled findings (candidate, left, right, path, label), drawn by hash from the row numbers start to start + n.
+
+    Paths are drawn apart from the labels, so the forest learns nothing from them here; real findings may teach it to."""
     i = F.col("id").cast("string")
     raw = lambda salt: F.sha2(F.concat(i, F.lit(salt)), 256)
     plain = lambda salt: F.regexp_replace(F.base64(F.unhex(F.concat(raw(salt), raw(salt + "'")))), "[^A-Za-z0-9]", "")
@@ -110,8 +129,9 @@ def generated_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, cut(raw("z"), 64), F.concat(text, F.lit("sha256 ")), F.lit(" ")),
     ]
     rows = F.element_at(F.array(*[F.struct(c.alias("candidate"), a.alias("left"), b.alias("right"), F.lit(y).alias("label")) for y, c, a, b in kinds]), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int"))
-    path = F.when(F.pmod(F.xxhash64(F.lit("path"), "id"), F.lit(10)) == 0, F.when(F.element_at(F.array(*[F.lit(y) for y, *_ in kinds]), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int")) == 1, "src/main").otherwise("tests/data")).otherwise("src0")
-    return spark.range(0, n, 1, 1).select(rows.alias("r"), path.alias("path")).select("r.*", "path")
+    places = ("src0", "src/main", "lib/core", "tests/data", "docs/guide", "")
+    path = F.element_at(F.array(*[F.lit(x) for x in places]), (F.pmod(F.xxhash64(F.lit("path"), "id"), F.lit(len(places))) + 1).cast("int"))
+    return spark.range(start, start + n, 1, 1).select(rows.alias("r"), path.alias("path")).select("r.*", "path")
 
 
 def train(findings: DataFrame) -> list:

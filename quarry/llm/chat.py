@@ -11,8 +11,9 @@ backslash is doubled and every control string (listed in CONTROL) gets a backsla
 marker can appear in a text; dropping each backslash that precedes a character restores it.
 
 Defined cases: null text and null role are empty; a null score is 0; a node whose parent is absent is a root; a cycle
-raises ValueError; an empty table gives an empty result; equal rows are turns of their own. All columns are
-renamed on entry, so further columns may carry any name.
+raises ValueError; an empty table gives an empty result; equal rows are turns of their own; paths of one score (ties) rank by
+leaf id; texts of any length are written whole. Only the named columns are read, so further ones may carry any name.
+In `linear_tree`, all rows without a conv_id are one conversation, whose conv_id is null.
 """
 
 from __future__ import annotations

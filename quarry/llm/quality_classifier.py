@@ -4,8 +4,10 @@ The features of a text are the shares of its n-grams (words 1-2, token shapes 1-
 with the weights, through the logistic function. Training is one task over a bounded sample of labelled rows (TRAIN_DOCS,
 drawn by hash of the id), with per-coordinate FTRL-proximal updates; scoring maps over all documents without a shuffle.
 
-Defined cases: null and empty texts get the score of the bias alone; unlabelled ids are scored like others; with no
-labelled row at all the score is 0.5; repeated rows score alike. Only doc_id and text are read when scoring.
+Defined cases: null and empty texts get the score of the bias alone; unlabelled ids are scored like others; null labels
+and ids are left out of the training and of repeated labels (ties) the largest counts; with no labelled row at all the score is
+0.5; repeated rows score alike; texts of any length are taken whole; empty documents give an empty result. Only doc_id and
+text are read when scoring, so further columns may carry any name.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ named, versioned mask over those bits, so any number of policies is applied late
 ablations (what each rule rejects, and what it alone rejects) are one bitwise aggregation over the ledger.
 
 Defined cases: a null text counts as empty (no words, lines or symbols) and fails the word rule; empty texts likewise;
-repeated rows each get their own row; ties cannot arise. Only doc_id and text are read, so further columns may carry any
-name. Equal 8-word windows are found by their 64-bit hashes. There is no shuffle: all work is within a row.
+repeated rows each get their own row; ties cannot arise; texts of any length are measured whole; an empty table gives an empty
+ledger. Only doc_id and text are read, so further columns may carry any name. Equal 8-word windows are found by their 64-bit hashes. There is no shuffle: all work is within a row.
 """
 
 from __future__ import annotations

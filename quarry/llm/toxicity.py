@@ -6,8 +6,10 @@ AdaGrad with a soft threshold (L1) on a bounded sample of labelled rows; thresho
 plus non-negative steps. The expected severity is the sum over k of P(grade > k). The grades are those that the labels
 hold: 0 and 1 in `labels.toxic`, any 0..K in general.
 
-Defined cases: null and empty texts have no features, so the thresholds alone speak; with no labelled row every severity
-is 0; repeated rows score alike. Only doc_id and text are read when scoring, which maps over all documents.
+Defined cases: null and empty texts have no features, so the thresholds alone speak; null labels and ids are left out of the
+training and of repeated labels the largest counts; with no labelled row every severity is 0; repeated rows score alike; of
+equally likely grades (ties) the lowest is given; texts of any length are taken whole; empty documents give an empty
+result. Only doc_id and text are read when scoring, which maps over all documents, so further columns may carry any name.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, severity, grade): the expected grade and the likeliest one."""
+    """(doc_id, severity, grade, above): the expected grade, the likeliest one, and P(grade > k) for each threshold k."""
     at, w, thresholds = model
 
     def run(batches):
@@ -129,14 +131,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
                 total += np.bincount(once >> T.BITS, table[once & ((1 << T.BITS) - 1)], block.num_rows)
             at_most = sigmoid(thresholds[None, :] - total[:, None])
             p = np.diff(np.concatenate((np.zeros((total.size, 1)), at_most, np.ones((total.size, 1))), axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.round((1 - at_most).sum(axis=1), 9)), pa.array(p.argmax(axis=1).astype(np.int32))], ["doc_id", "severity", "grade"])
+            above = pa.ListArray.from_arrays(pa.array(np.arange(total.size + 1, dtype=np.int32) * thresholds.size), pa.array(np.round(1 - at_most, 9).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.round((1 - at_most).sum(axis=1), 9)), pa.array(p.argmax(axis=1).astype(np.int32)), above], ["doc_id", "severity", "grade", "above"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade int, above array<double>")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out (crc32 of the id modulo 5 is 0: not learnt from), severity, grade, toxic (grade above 0)."""
+    """doc_id, held_out (crc32 of the id modulo 5 is 0: not learnt from), severity, grade, toxic (grade above 0), above (P(grade > k) for each threshold k)."""
     docs = C.table(spark, sf_dir, "documents")
     held = lambda c: C.held_out(c, 5, 0)
     model = train(T.labelled(docs, C.table(spark, sf_dir, "labels"), "toxic", held, TRAIN_DOCS))
-    return score(docs, model).select("doc_id", held(F.col("doc_id")).alias("held_out"), "severity", "grade", (F.col("grade") > 0).alias("toxic"))
+    return score(docs, model).select("doc_id", held(F.col("doc_id")).alias("held_out"), "severity", "grade", (F.col("grade") > 0).alias("toxic"), "above")

@@ -53,8 +53,22 @@ def test_empty_tables_and_bound(spark):
     assert D.decontaminate(docs.limit(0), bench).count() == 0
     assert D.decontaminate(docs, bench.limit(0)).first()["n_hit"] == 0
     assert D.decontaminate(docs, bench).first()["spans"][0].asDict() == {"begin": 0, "end": 5}
-    with pytest.raises(ValueError):
-        D.windows_of(bench, max_benchmark_bytes=1)
+
+
+def test_large_benchmarks_are_searched_in_blocks(spark):
+    texts, items = random_case(4)
+    docs, bench = frames(spark, texts, items)
+    assert len(list(D.windows_of(bench, max_benchmark_bytes=100))) > 3
+    key = lambda df: sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["items"])), tuple(map(tuple, r["spans"]))) for r in df.collect())
+    assert key(D.decontaminate(docs, bench, max_benchmark_bytes=100)) == key(D.decontaminate(docs, bench))
+    left = {r["doc_id"]: r["text"] for r in D.remove_spans(docs, bench, max_benchmark_bytes=100).collect()}
+    assert len(left) == len(texts) and all(v[1] == 0 for v in D.brute(left, dict(items)).values())
+
+
+def test_repeated_rows_and_items(spark):
+    docs, bench = frames(spark, [(1, "x a b c y"), (1, "x a b c y"), (None, "a b c"), (2, None)], [(7, "a b c"), (7, "a b c"), (8, "A, B-C"), (None, "y"), (9, None)])
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["items"])) for r in D.decontaminate(docs, bench).collect())
+    assert got == [("1", 5, 3, "7,8"), ("1", 5, 3, "7,8"), ("2", 0, 0, ""), ("None", 3, 3, "7,8")]
 
 
 def test_index_locates_every_occurrence():

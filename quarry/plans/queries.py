@@ -23,7 +23,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _records(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").where("doc_id is not null")
-    return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text")).repartition(spark.sparkContext.defaultParallelism)
+    rows = rows.select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows  # a small file is one split only
 
 
 _STORES: dict[tuple, Store] = {}

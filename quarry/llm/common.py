@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def blocks(batches, max_bytes: int = 2 << 20, column: str = "text"):
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers live on from stage to stage, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def blocks(batches, max_bytes: int = 1 << 20, column: str = "text"):
     """Slices Arrow batches into record batches of about max_bytes of text; a longer text is a block of its own."""
+    yield from _blocks(batches, max_bytes, column)
+    give_back()
+
+
+def _blocks(batches, max_bytes: int, column: str):
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -145,5 +160,25 @@ def held_out(doc_id, mod: int, rest: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+MARK_WORDS = 1 << 19  # of 64 bits: what `may_be_among` broadcasts at most
+
+
+def may_be_among(rows: DataFrame, column, keys: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column `name`: false only where the number `column` is surely not in keys (one column).
+
+    The keys are folded into a bitmap of MARK_WORDS words, which is broadcast: its size is bounded whatever their number
+    (the more there are, the less it tells). So a join needs to shuffle only rows that may have a partner."""
+    from pyspark.sql import functions as F
+
+    h = lambda c: F.xxhash64(c.cast("long"))
+    word = lambda c: F.shiftrightunsigned(h(c), 6).bitwiseAND(F.lit(MARK_WORDS - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), h(c).bitwiseAND(F.lit(63)).cast("int"))
+    key = F.col(keys.columns[0])
+    marks = keys.select(word(key).alias(f"{name}_word"), bit(key).alias("b")).groupBy(f"{name}_word").agg(F.bit_or("b").alias(f"{name}_mask"))
+    found = rows.withColumn(f"{name}_word", word(column)).withColumn(f"{name}_bit", bit(column)).join(F.broadcast(marks), f"{name}_word", "left")
+    may = F.coalesce(F.col(f"{name}_mask").bitwiseAND(F.col(f"{name}_bit")) != 0, F.lit(False))
+    return found.withColumn(name, may).drop(f"{name}_word", f"{name}_bit", f"{name}_mask")
+
+
 def as_long(values, mask=None) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64), mask=mask)

@@ -43,6 +43,7 @@ SIMILARITY = 85  # percent, of op10; other callers pass their own
 COORDINATES, POSTED = 512, 64
 MISSED_MATCHES, MISSED_KEEP = 2e-7, 8e-7  # bounds on the probability that a link at exactly the similarity fails either count
 SLICES, LONGS = 4, COORDINATES // 64
+HEAD = 64  # elements of a difference that travel with its postings
 PLANES = [f"p{i}" for i in range(SLICES * LONGS)]
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -150,7 +151,8 @@ def collisions(a: str, b: str):
 
 def hash_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
     """(id, hs): the full shingle set (sorted hashes) of each class in need (id, rep: a document that has it)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(need, "rep").select("id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
+    texts = C.may_be_among(texts, F.col("rep"), need.select("rep"), "__quarry_may").where("__quarry_may").join(need, "rep").select("id", "text")
 
     def run(batches):
         for block in C.blocks(batches):
@@ -177,7 +179,8 @@ def cross_links(rest: DataFrame, full: DataFrame, similarity: int = SIMILARITY,
     with qx + qy <= 0 is linked to the leader on both sides and so in one component already; any other needs an overlap.
     Its elements belong to two differences at least, and no member has more than its m elements of this kind: a partner of x has
     qy <= 2 (100 + s) mx - qx, its room. The least q of all whose room admits x bounds the overlap that x needs, hence the
-    prefix of its elements, rarest first, under which it meets others. counts, if given, receives the numbers of rows."""
+    prefix of its elements, rarest first, under which it meets others; a pair is made only if the overlap of the rarest HEAD
+    elements leaves room for a link, so the rows made grow with the links. counts, if given, receives the numbers of rows."""
     unit, near = 2 * (100 + similarity), 100 - similarity
     here, there = F.array_except("x", "y"), F.array_except("y", "x")
     rows = rest.select("leader", "id", "c").join(full.select("id", F.col("hs").alias("x")), "id").join(full.select(F.col("id").alias("leader"), F.col("hs").alias("y")), "leader")
@@ -196,10 +199,13 @@ def cross_links(rest: DataFrame, full: DataFrame, similarity: int = SIMILARITY,
     rows = rows.withColumn("needs", F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("least")) / unit)).cast("int")).where(F.col("needs") <= F.col("m"))
     rows = C.cut(rows.select("leader", "id", "c", "q", "m", F.slice("own.e", F.lit(1), (F.col("m") - F.col("needs") + 1).cast("int")).alias("prefix"), F.col("own.e").alias("d")))
     several = rows.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("leader")
-    posts = rows.join(several, "leader", "left_semi").select("leader", "id", "c", "q", "m", F.explode("prefix").alias("e")).join(rest.select("leader", "id", "p"), ["leader", "id"])
-    again = posts.select("leader", "e", *[F.col(c).alias(f"{c}2") for c in ("id", "c", "q", "m", "p")])
-    fits = (F.col("c") < F.col("c2")) & (F.col("q") + F.col("q2") <= unit * F.least("m", "m2"))
-    met = posts.join(again, ["leader", "e"]).where(fits & (collisions("p", "p2") >= bounds(similarity)[1]))
+    posts = rows.join(several, "leader", "left_semi").select("leader", "id", "c", "q", "m", F.slice("d", 1, HEAD).alias("head"), F.explode("prefix").alias("e")).join(rest.select("leader", "id", "p"), ["leader", "id"])
+    again = posts.select("leader", "e", *[F.col(c).alias(f"{c}2") for c in ("id", "c", "q", "m", "head", "p")])
+    fits = (F.col("c") < F.col("c2")) & (F.col("q") + F.col("q2") <= unit * F.least("m", "m2")) & (collisions("p", "p2") >= bounds(similarity)[1])
+    # both heads are first in one order, so the overlap is theirs and at most what the longer difference has beyond its head
+    beyond = F.greatest(F.greatest("m", "m2") - HEAD, F.lit(0))
+    fits = fits & (F.col("q") + F.col("q2") <= unit * (F.size(F.array_intersect("head", "head2")) + beyond))
+    met = posts.join(again, ["leader", "e"]).where(fits)
     met = C.cut(met.select("leader", "id", "id2", "q", "q2").distinct())
     if counts is not None:
         counts.update(members=rest.count(), left=rows.count(), pairs=met.count())
@@ -278,8 +284,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs whose document stands for its group (or has no id); columns pass unchanged."""
-    gone = near_duplicates(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__quarry_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__quarry_id"], "left_anti")
+    gone = C.cut(near_duplicates(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__quarry_id")).distinct())
+    marked = C.may_be_among(docs, docs["doc_id"], gone, "__quarry_may")
+    unsure = marked.where("__quarry_may").drop("__quarry_may")
+    left = unsure.join(gone, unsure["doc_id"].cast("long") == gone["__quarry_id"], "left_anti")
+    return marked.where("not __quarry_may").select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
 def brute(texts: dict, similarity: int = SIMILARITY) -> dict:

@@ -36,7 +36,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _PART = re.compile(f"[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+|\n")
 _LONG = 64  # symbols from which the heap is used
-_CACHE = 200_000
+_CACHE = 100_000
 _NEVER = 1 << 60
 _MISSING = (1 << 20) - 1  # a character without a piece; no pair holds it
 
@@ -185,22 +185,20 @@ class Model:
         if self.kind != 2 or self.suffix or self.strip or not self.escape or any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.ids):
             raise ValueError("only byte-pair models that keep white space and never join across words are supported")
         rank = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
-        self.joins: dict[tuple[int, int], tuple[int, int]] = {}  # a pair of pieces -> (rank, joined piece)
+        self.ranked: dict[int, int] = {}  # a pair of pieces (left << 20 | right) -> (rank << 20 | joined piece)
         for p, i in self.ids.items():
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
-                    self.joins[a, b] = (rank[self.scores[i]], i)
-        # the same with whole numbers: (left << 20 | right) -> (rank << 20 | joined); pieces of one score need the heap
-        self.ranked = {(a << 20) | b: (r << 20) | j for (a, b), (r, j) in self.joins.items()}
-        alike: dict[int, set[int]] = {}
-        for r, j in self.joins.values():
-            alike.setdefault(r, set()).add(j)
+                    self.ranked[(a << 20) | b] = (rank[self.scores[i]] << 20) | i
+        alike: dict[int, set[int]] = {}  # pieces of one score need the heap
+        for m in self.ranked.values():
+            alike.setdefault(m >> 20, set()).add(m & 0xFFFFF)
         self.tied = {r for r, js in alike.items() if len(js) > 1}
         self.plain = not charsmap
         self.pair_keys, self.pair_values = (np.array(x, np.int64) for x in zip(*sorted(self.ranked.items()), strict=True))
         self.is_tied = np.array([r in self.tied for r in range(len(rank) + 1)])
-        self.by_code = np.full(0x110000, _MISSING)
+        self.by_code = np.full(0x110000, _MISSING, np.int32)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.by_code[ord(p)] = i
@@ -232,9 +230,14 @@ class Model:
         return ids, size
 
     def _join_long(self, ids: list[int]) -> tuple[list[int], list[int]]:
-        joins, n = self.joins, len(ids)
+        n = len(ids)
+
+        def joins(a: int, b: int) -> tuple[int, int] | None:
+            m = self.ranked.get((a << 20) | b)
+            return None if m is None else (m >> 20, m & 0xFFFFF)
+
         after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-        heap = [(*got, i, ids[i], ids[i + 1]) for i in range(n - 1) if (got := joins.get((ids[i], ids[i + 1])))]
+        heap = [(*got, i, ids[i], ids[i + 1]) for i in range(n - 1) if (got := joins(ids[i], ids[i + 1]))]
         heap = [(r, i, a, b, j) for r, j, i, a, b in heap]
         heapq.heapify(heap)
         while heap:
@@ -250,7 +253,7 @@ class Model:
             if after[k] < n:
                 before[after[k]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (got := joins.get((ids[x], ids[y]))):
+                if x >= 0 and y < n and (got := joins(ids[x], ids[y])):
                     heapq.heappush(heap, (got[0], x, ids[x], ids[y], got[1]))
         left = [i for i in range(n) if size[i]]
         return [ids[i] for i in left], [size[i] for i in left]
@@ -287,7 +290,7 @@ class Model:
         count = np.array([len(t) for t in texts], np.int64)
         part = np.repeat(np.arange(len(texts)), count)
         size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)  # source bytes
-        ids = self.by_code[np.where(code == 32, ord(SPACE), code)]
+        ids = self.by_code[np.where(code == 32, ord(SPACE), code)].astype(np.int64)
         alone = (count > _LONG) | (np.bincount(part[ids == _MISSING], minlength=count.size) > 0)
         keep = ~alone[part]
         ids, size, part = ids[keep], size[keep], part[keep]
@@ -354,8 +357,8 @@ class Model:
                 cache[p] = older[p]
             else:
                 new.append(p)
-        for i in range(0, len(new), 20_000):
-            cache.update(zip(new[i : i + 20_000], self.part_many(new[i : i + 20_000]), strict=True))
+        for i in range(0, len(new), 10_000):
+            cache.update(zip(new[i : i + 10_000], self.part_many(new[i : i + 10_000]), strict=True))
         return [[cache[p] for p in own] for own in cut]
 
     def parts(self, text: str) -> list[tuple[str, int, bytes]]:

@@ -5,16 +5,18 @@ non-letters one space), pre-aggregated per task and summed by (language, n-gram)
 continuation counts follow, then back-off weights and log-probabilities, all by aggregations and joins over every n-gram.
 A model is kept as sorted arrays of n-gram hashes with one column of log-probabilities per language; a text is looked up
 in them from the longest order down, unseen n-grams through the context's back-off weight.
-The language of the lowest cross-entropy per character wins. The score is the probability, by a logistic calibration on
-a bounded sample of training rows (CALIBRATION_DOCS), that the winner is right; `rejected` marks scores under REJECT.
+The language of the lowest cross-entropy per character wins. The score is the probability that the winner is right, by a
+logistic calibration on training rows that the models have not counted: those whose id's hash falls below a share, at most
+CALIBRATION_SHARE of the rows and about CALIBRATION_DOCS of them. `rejected` marks scores under REJECT.
 
-The counts cover all training rows and the model keeps every n-gram. It grows with the corpus, so it is neither collected
+The counts cover all other training rows and the model keeps every n-gram. It grows with the corpus, so it is neither collected
 nor broadcast: tasks write their ranges of the sorted arrays into files under spark.checkpoint.dir (a folder that driver
-and executors mount), and scoring maps these files into memory.
+and executors mount), and scoring maps these files into memory. A task that runs again writes the same bytes to the same places.
 
-Defined cases: null text or text without a letter is `und` with score 0; null languages and ids in training are left out;
-ties go to the language first in order; with no training row everything is `und`. Texts are scored whole. Only doc_id
-and text are read when scoring.
+Defined cases: null text or text without a letter is `und` with score 0; null languages, texts and ids in training are left out;
+repeated rows count, and are scored, each on their own; ties go to the language first in order; with no training row
+everything is `und`; an empty table gives an empty result; texts of any length are counted and scored whole. Only doc_id and text
+are read when scoring (and lang when training), so further columns may carry any name.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ ORDER = 4
 DISCOUNT = 0.75
 UNIFORM = float(np.log(1 / 1000))
 SHARD_BITS = 6  # the leading bits of a hash name the range of the sorted arrays that one task writes
-CALIBRATION_DOCS = 2_000
+CALIBRATION_DOCS, CALIBRATION_SHARE = 2_000, 0.1
 REJECT = 0.5
 _U = np.uint64
 _LETTERS: list[np.ndarray] = []
@@ -334,15 +336,15 @@ class Calibration:
 
 def fit(docs: DataFrame) -> tuple[Models, Calibration]:
     """The models of the languages in docs (text, lang), and their calibration."""
-    counts = C.cut(count(docs))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"), "text", F.col("lang").cast("string").alias("lang"))
+    share = int(min(CALIBRATION_SHARE, CALIBRATION_DOCS / max(1, known.count())) * (1 << 30))
+    counts = C.cut(count(known.where(F.col("h") >= share)))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     models = store(kneser_ney(counts, langs), langs) if langs else Models(pd.DataFrame({"lang": [], "gram": [], "n": []}))
     calibration = Calibration()
     if models.langs:
-        known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
-        n = known.count()
-        share = min(1.0, 0.9 * CALIBRATION_DOCS / max(1, n))
-        part = known.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+        part = known.where(F.col("h") < share)
+
         def run(batches):
             for block in C.blocks(batches):
                 ce, n = models.entropy(block.column(0).to_pylist())

@@ -94,7 +94,8 @@ def generated_findings(spark: SparkSession, n: int = FINDINGS, start: int = 0) -
     digits = F.translate(raw("d"), "abcdef", "012345")
     some = lambda low, high: (F.lit(low) + F.pmod(F.xxhash64("id"), F.lit(high - low + 1))).cast("int")
     cut = lambda x, k: F.substr(x, F.lit(1), k if isinstance(k, Column) else F.lit(k))
-    word = lambda salt: F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    words = F.split(F.lit(" ".join(DICTIONARY)), " ")  # one literal: an array of literals for each use would swell the plan
+    word = lambda salt: F.element_at(words, (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(DICTIONARY))) + 1).cast("int"))
     letters = lambda salt, k: F.translate(cut(raw(salt), k), "0123456789abcdef", "qwertyuiopzsdgjk")
     text = F.concat(F.lit("then "), word("a"), F.lit(" and the "), word("b"), F.lit(" "))
     kinds = [  # label, candidate, text before, text after

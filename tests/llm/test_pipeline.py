@@ -59,3 +59,14 @@ def test_stages_take_nulls_repeats_and_nothing(spark, tmp_path):
             docs = spark.createDataFrame(docs.collect(), schema)
         out = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
         assert sorted(str(r["doc_id"]) for r in out) == (["1", "1", "5", "None"] if data else []) and all(r["round_trip"] for r in out)
+
+
+def test_generated_findings_burden_the_driver_little(spark, monkeypatch):
+    from quarry.llm import secret_scan as S
+
+    findings, read = S.generated_findings(spark, 290), []
+    assert len(findings._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    plain = S.C.cut
+    monkeypatch.setattr(S.C, "cut", lambda df: read.append(df.columns) or plain(df))
+    assert len(S.train(findings)) == S.TREES
+    assert read == [[*S.FEATURES, "label"]]  # the forest's own jobs read stored numbers, not the features' expressions

@@ -33,7 +33,7 @@ from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common as C
@@ -111,6 +111,22 @@ def keys_of(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _own_if_empty(rows: DataFrame) -> DataFrame:
+    """An empty document is alone in its class."""
+    return rows.withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")))
+
+
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size) and key (of the set): what all rows need; the signatures are made for the classes only."""
+
+    def run(batches):
+        for block in C.blocks(batches):
+            h, off = shingles(block.column(1))
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(off)), pa.array(keys_of(h, off))], ["doc_id", "n", "key"])
+
+    return _own_if_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long"))
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), key (of the set), the posted coordinate-value pairs and the 4-bit slices."""
 
@@ -132,8 +148,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), pa.array(keys_of(h, off)), flat, *[pa.array(planes[:, k].astype(np.int64)) for k in range(len(PLANES))]], ["doc_id", "n", "key", "tokens", *PLANES])
 
     schema = "doc_id long, n long, key long, tokens array<long>, " + ", ".join(f"{p} long" for p in PLANES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    return rows.withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")))  # an empty document is alone
+    return _own_if_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema))
 
 
 def collisions(a: str, b: str):
@@ -187,8 +202,8 @@ def cross_links(rest: DataFrame, full: DataFrame, similarity: int = SIMILARITY,
     rows = rows.select("leader", "id", "c", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("base"), F.concat(here, there).alias("d"))
     rows = C.cut(rows.withColumn("q", F.lit(100 + similarity) * F.size("d") - F.lit(near) * F.col("n")))
     each = rows.select("leader", "id", F.explode("d").alias("e"))
-    often = each.groupBy("leader", "e").agg(F.count("*").alias("f")).where("f > 1")
-    own = each.join(often, ["leader", "e"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("own"))
+    often = each.withColumn("f", F.count("*").over(Window.partitionBy("leader", "e"))).where("f > 1")
+    own = often.groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("own"))
     rows = rows.select("leader", "id", "c", "q", "base").join(own, ["leader", "id"]).withColumn("m", F.size("own").cast("long"))
     step = lambda v: F.floor(16 * F.log2(1 + F.greatest(v, F.lit(0)) / (F.lit(near) * F.col("base") + 1))).cast("int")  # noqa: E731  rising in v
     rows = C.cut(rows.withColumn("admits", step(unit * F.col("m") - F.col("q"))))
@@ -237,18 +252,20 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     Links are pairs of at least `similarity` percent."""
     matches, keep = bounds(similarity)
-    sets = C.cut(sets_of(docs))
+    sets = C.cut(sizes_of(docs))
     known = sets.where("doc_id is not null")
-    classes = known.where("n > 0").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "tokens", *PLANES)).alias("s"))
+    # signatures go straight into the classes' shuffle: 800 bytes a row, which a checkpoint of all rows would write once more
+    classes = sets_of(docs).where("doc_id is not null and n > 0").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "tokens", *PLANES)).alias("s"))
     classes = C.cut(classes.select("id", "rep", "s.*"))
     posts = classes.select("id", F.explode("tokens").alias("token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    kept = posts.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("own"))
+    shared = posts.withColumn("f", F.count("*").over(Window.partitionBy("token"))).where("f > 1")  # one shuffle of the postings, not two
+    kept = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("own"))
     m = F.size("own")
     kept = kept.where(m >= matches).select("id", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["f"]).alias("central"), F.slice("own", F.lit(1), m - (matches - 1)).alias("own"))
-    lists = C.cut(kept.select("id", "central", F.explode("own.token").alias("token")))
-    lead = lists.groupBy("token").agg(F.max_by("id", F.struct("central", "id")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("token", "leader")
-    met = C.cut(lists.join(lead, "token").select("token", "id", "leader"))
+    lists = kept.select("id", "central", F.explode("own.token").alias("token"))
+    of = Window.partitionBy("token")
+    led = lists.select("token", "id", F.max_by("id", F.struct("central", "id")).over(of).alias("leader"), F.count("*").over(of).alias("size"))
+    met = C.cut(led.where("size > 1").select("token", "id", "leader"))
     need = classes.select("id", "rep").join(met.select("id").distinct(), "id", "left_semi")
     full = C.cut(hash_sets(docs, need))
 

@@ -194,3 +194,23 @@ def test_very_long_repeats(spark):
 def test_repeats_in_nothing(spark):
     assert X.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert X.remove_repeats(spark.createDataFrame([(1, "short")], "doc_id long, text string")).first()["spans"] == []
+
+
+def test_signatures_and_postings_are_moved_once(spark, monkeypatch):
+    r = random.Random(21)
+    texts = [" ".join(words(r, 40)) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts * 4)), "doc_id long, text string").repartition(3)
+    plain, signed, shuffles = M.C.cut, [], []
+
+    def cut(x):
+        shuffles.append(x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(token"))
+        out = plain(x)
+        if "tokens" in x.columns:
+            signed.append(out.count())
+        return out
+
+    monkeypatch.setattr(M.C, "cut", cut)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in M.near_duplicates(df).collect()}
+    assert got == M.brute(dict(enumerate(texts * 4)))
+    assert signed == [6]  # one row a class, none for its copies
+    assert sum(shuffles) == 4  # all postings, the lists left of them, and twice those of several components
